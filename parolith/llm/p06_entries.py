@@ -104,7 +104,7 @@ class EntryTrie:
                     if before and i > 1 and word[i - 1] == last and word[i - 2] == ch:
                         d = min(d, before[i - 2] + 1)
                     new.append(d)
-                if min(new) <= child["most"] or min(row) <= child["most"]:
+                if min(new) <= child["most"] or min(row) < child["most"]:
                     stack.append((child, ch, new, row))
         return found
 
