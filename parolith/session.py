@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +45,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A copy of df in the shared checkpoint folder; its lineage ends there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """Removes the tables cut() wrote, when the driver's Python ends."""
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  (the session may be gone; the folder is then the cluster's to clean)
+            return
+
+
+atexit.register(_sweep)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A copy of df as a table in the shared checkpoint folder: computed once, read as often as needed, lineage ends.
+
+    The files outlive every executor, and their sizes are known to the optimizer.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
