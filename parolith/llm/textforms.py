@@ -40,6 +40,7 @@ _TO_LATIN = _pairs(CYRILLIC_LATIN) | _pairs(GREEK_LATIN) | _pairs(ARMENIAN_LATIN
 _LOOK: dict[str, dict[str, str]] = {}  # letter -> script -> the letter of that script that looks like it
 
 
+@lru_cache(maxsize=8192)
 def _script(ch: str) -> str:
     name = ud.name(ch, "").split(" ", 1)[0]
     return {"LATIN": "Latn", "CYRILLIC": "Cyrl", "GREEK": "Grek", "ARMENIAN": "Armn"}.get(name, "")
