@@ -50,6 +50,8 @@ MONTHS = set(
 #: Thai words that open a clause the main clause follows after a blank, and words that go on with the clause before.
 THAI_OPENERS = ("ถ้า", "หาก", "เมื่อ", "ที่ใด", "ใครที่", "แม้", "เพราะ", "ขณะที่", "ก่อนที่", "หลังจาก", "เพื่อ")
 THAI_JOINERS = ("ที่นั่น", "ก็", "จึง", "แต่", "แล้ว", "และ", "หรือ", "เพราะ", "โดย", "ซึ่ง", "อันที่")
+#: Levels of nesting looked through for the opener that a closing mark belongs to.
+DEEPEST = 32
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "„": "“”", "“": "”", "‘": "’", "‹": "›", "»": "«"}
 _QUOTES = set("\"'“”„‘’«»‹›「」『』")
 _CLOSERS = set(")]}）］】」』》〉»”’›\"'")
@@ -60,7 +62,7 @@ _BLANKLESS = r"฀-ໟༀ-࿿က-႟ក-៿"
 _GAP = re.compile(rf"(?<=[{_BLANKLESS}])(?<![ๆ])[^\S\n]+(?=[{_BLANKLESS}\"'“«‘A-ZÀ-ÞА-Я])")
 _BREAK = re.compile(r"[^\S\n]*\n\s*")
 _CJK = re.compile(r"[⺀-〿぀-ヿ㐀-鿿豈-﫿＀-￯]")
-_ENUMERATOR = re.compile(r"(?:^|\n)[^\S\n]*(?:\(?\d{1,3}|\(?[A-Za-z]|[ivxIVX]{1,4})\.?$")
+_WORD, _SOLID = re.compile(r"\w+"), re.compile(r"\S*")
 _WORDS_OF_ONE = set("яиaoyeéàèuIОЯИ")
 
 
@@ -111,7 +113,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
         prev, nxt = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
         if ch in "'’" and prev.isalnum() and nxt.isalnum():
             continue  # an apostrophe
-        at = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][0]), None)
+        at = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1) if ch in stack[k][0]), None)
         opens = ch in _OPEN or ch in "\"'"
         if ch in "\"'" or ch in "»“":
             starts = (prev.isspace() or prev in "([{—–-:¿¡「（“«\"" or i == 0 or (at is None and not prev.isalnum() and prev not in ".,!?…")) and not nxt.isspace()
@@ -183,10 +185,8 @@ def _ends_here(text: str, s: int, e: int) -> bool:
     if len(word) == 1 and word.isalpha() and word not in _WORDS_OF_ONE and not _CJK.match(word):
         return False
     if word.isdigit() and len(word) < 4:
-        m = re.match(r"\w+", text[k:])
-        if m and m.group().lower() in MONTHS or _ENUMERATOR.search(text[:s][-12:]) and (s < 12 or "\n" in text[s - 12 : s]) and i > 0 and text[:i].rstrip(" \t(")[-1:] in ("\n", ""):
-            return False
-        if i == 0:
+        m = _WORD.match(text, k)
+        if m and m.group().lower() in MONTHS or text[max(0, i - 8) : i].rstrip(" \t(")[-1:] in ("\n", ""):
             return False
     return True
 
@@ -194,7 +194,7 @@ def _ends_here(text: str, s: int, e: int) -> bool:
 def _wrapped(text: str, start: int, end: int, width: int) -> bool:
     """Whether the line feed run at [start, end) only wraps a line: the next word would not have fitted."""
     line = text[text.rfind("\n", 0, start) + 1 : start]
-    nxt = re.match(r"\S*", text[end:]).group()
+    nxt = _SOLID.match(text, end).group()
     if nxt[:1].islower():
         return True
     size = 1 if _CJK.match(nxt) else len(nxt)
@@ -236,7 +236,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 whole = not text[cuts[-1] if cuts else 0 : a].strip()
                 if follows in ("upper", "digit", "other") and nxt.isspace() or follows == "end":
                     cuts.append(j)
-                elif follows == "other" and whole and nxt and nxt not in "とって" and not text[j:].lstrip()[:1] in ("と", "っ"):
+                elif follows == "other" and whole and nxt and nxt not in "とって" and text[j : j + 8].lstrip()[:1] not in ("と", "っ"):
                     cuts.append(j)
             continue
         if covered(s):
