@@ -33,7 +33,7 @@ from parolith.llm.textforms import is_case, words
 FREQUENT = 200
 MOST_FREQUENT = 100_000
 BITMAP_BITS = 1 << 22
-SHORT, LONG = 32, 25
+SHORT = 32
 
 _SETS = T.StructType([T.StructField("field", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("words", T.BinaryType())])
 _POSTS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("rest", T.BinaryType())])
@@ -110,26 +110,35 @@ class SetTrie:
 
 
 def bucket_keys(ordered: list[int], frequent: dict[int, int], once: np.ndarray | None, t: tuple[int, int]) -> list[tuple[int, int]]:
-    """(bucket, place of its first word) of an ordered set."""
+    """(bucket, place of its first word) of an ordered set.
+
+    A partner shares at least ``q = ceil(t n)`` words with a set of n. Two sets whose larger q is 1, 2, or 3 and more meet in a
+    bucket of that many shared words if the first of these is frequent: the first c shared words lie within the first
+    ``n - max(q, c) + 1``, one more, and one more again. Where it is rare, it makes the bucket alone.
+    """
     n = len(ordered)
-    first = n + 1 - -(-t[0] * n // t[1])
+    q = -(-t[0] * n // t[1])
     keys = []
-    for i in range(first):
+    for i in range(n - q + 1):
         w = ordered[i]
         if w not in frequent:
             if once is None or once[(w & (BITMAP_BITS - 1)) >> 6] >> np.uint64(w & 63) & np.uint64(1):
                 keys.append((w, i))
             continue
-        if n < 3:
-            keys.append((hash_all(ordered), i))
-            break
         if n <= SHORT:
-            for j, k in combinations(range(i + 1, min(n, first + 2)), 2):
-                if j < first + 1:
-                    keys.append((hash_all([w, ordered[j], ordered[k]]), i))
-        if n >= LONG:
+            for c in range(min(q, 3), min(3, n) + 1):
+                first = n - max(q, c) + 1
+                if i >= first:
+                    continue
+                if c == 1:
+                    keys.append((hash_all([w]), i))
+                elif c == 2:
+                    keys += [(hash_all([w, ordered[j]]), i) for j in range(i + 1, first + 1)]
+                else:
+                    keys += [(hash_all([w, ordered[j], ordered[k]]), i) for j, k in combinations(range(i + 1, min(n, first + 2)), 2) if j <= first]
+        if n >= SHORT * t[0] // t[1]:
             band = int(np.floor(np.log(n) / np.log(t[1] / t[0]) + 1e-9))
-            keys += [(hash_all([w, 0, band]), i), (hash_all([w, 0, band + 1]), i)]
+            keys += [(hash_all([w, 0, 0, band]), i), (hash_all([w, 0, 0, band + 1]), i)]
     return keys
 
 
