@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parolith.functions.patterns import S, W
+from parolith.session import cut
 
 #: English words left out of the word n-grams; a short list of function words, a parameter of the configuration.
 STOP_WORDS = tuple("a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with you your".split())
@@ -101,18 +102,26 @@ def adaptive_threshold(n: int, similarity: float | None, start: float = 0.35) ->
     return start * (0.8 if similarity > 0.3 else 1.2 if similarity < 0.1 else 1.0)
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, tail: float = 0.5) -> DataFrame:
     """(a, b, cosine) of all pairs a < b of unit vectors with cosine >= least > 0, exactly.
 
-    Prefix filter: with terms from rare to frequent, the first shared term of such a pair lies in both prefixes, where a prefix ends
-    when what follows is shorter than ``least``. Only prefixes are joined; the cosines come from a second join of the candidates.
+    Prefix filter: terms go from rare to frequent, and a vector's prefix ends where what follows is shorter than ``tail * least``.
+    Joined on prefix terms, a pair adds up the products it finds. What it misses lies in the tail of the vector whose prefix ends
+    first, so the cosine is at most the sum found plus the longer tail; pairs below the threshold are dropped before the
+    exact cosines are taken from the whole vectors. A shorter tail joins more and verifies less.
     """
     df = vectors.groupBy("term").agg(F.count("*").alias("df"))
     lists = vectors.join(df, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
-    tail = F.aggregate("v", F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("left")), lambda acc, x: F.struct((acc["sum"] + x["w"] * x["w"]).alias("sum"), F.concat(acc["left"], F.array(1.0 - acc["sum"])).alias("left")))
-    lists = lists.withColumn("t", tail["left"])
-    heads = lists.select("id", F.explode(F.filter(F.transform("v", lambda x, i: F.when(F.element_at("t", i + 1) >= least * least - 1e-9, x["term"])), lambda x: x.isNotNull())).alias("term"))
-    candidates = heads.alias("x").join(heads.alias("y"), (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    zero = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("left"))
+    lefts = F.aggregate("v", zero, lambda acc, x: F.struct((acc["sum"] + x["w"] * x["w"]).alias("sum"), F.concat(acc["left"], F.array(1.0 - acc["sum"])).alias("left")))
+    bound = (tail * least) ** 2 - 1e-9
+    lists = cut(lists.withColumn("left", lefts["left"]).withColumn("k", F.size(F.filter("left", lambda x: x >= bound))))
+    rest = F.sqrt(F.greatest(F.coalesce(F.try_element_at("left", F.col("k") + 1), F.lit(0.0)), F.lit(0.0)))
+    heads = lists.select("id", rest.alias("rest"), F.explode(F.slice("v", 1, F.col("k"))).alias("x")).select("id", "rest", "x.term", "x.w")
+    x, y = heads.alias("x"), heads.alias("y")
+    found = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id")))
+    sums = found.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("p"), F.max(F.greatest("x.rest", "y.rest")).alias("rest"))
+    candidates = sums.where(F.col("p") + F.col("rest") >= least - 1e-9).select("a", "b")
     vx = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
     vy = vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
     dots = candidates.join(vx, "a").join(vy, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
