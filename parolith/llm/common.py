@@ -16,6 +16,11 @@ def not_blank(c: str | Column) -> Column:
     return c.isNotNull() & c.rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def with_id(df: DataFrame, id_col: str) -> DataFrame:
+    """The rows that have an id; the others can't be named in a result and take no part in any operator."""
+    return df.where(quoted(id_col).isNotNull())
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """All rows of a table that must be small; refuses a larger one instead of cutting it."""
     rows = df.limit(most + 1).collect()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parolith.llm.common import not_blank, quoted
+from parolith.llm.common import not_blank, quoted, with_id
 from parolith.llm.textforms import one_form
 
 LANGUAGES = tuple("en es fr de it pt nl tr ru ar hi th zh ja".split())
@@ -335,7 +335,7 @@ def identify(df: DataFrame, id_col: str, fields: Sequence[tuple[str, str]], gram
     """
     shared = df.sparkSession.sparkContext.broadcast((grams, tuple(languages)))  # TABLE * languages floats
     names = [f[0] for f in fields]
-    picked = df.select(quoted(id_col).cast("long").alias("id"), *[quoted(c).cast("string").alias(f"{p}{k}") for k, f in enumerate(fields) for p, c in zip("tl", f)])
+    picked = with_id(df, id_col).select(quoted(id_col).cast("long").alias("id"), *[quoted(c).cast("string").alias(f"{p}{k}") for k, f in enumerate(fields) for p, c in zip("tl", f)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Identifier(*shared.value)

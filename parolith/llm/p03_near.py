@@ -210,7 +210,7 @@ def near_copies(texts: DataFrame, t: tuple[int, int] = (4, 5), skip_form_cases:
     word sequences differ. members: (field, rep, id) of every class with several texts, its least id among them.
     Null, blank and wordless texts take no part; a text is compared with those of its own field alone.
     """
-    texts = texts.where(not_blank("text")).select(F.col("field").cast("int").alias("field"), F.col("id").cast("long").alias("id"), "text")
+    texts = texts.where(not_blank("text") & F.col("id").isNotNull() & F.col("field").isNotNull()).select(F.col("field").cast("int").alias("field"), F.col("id").cast("long").alias("id"), "text")
     sets = cut(word_sets(texts, set(skip_form_cases)))
     return link_sets(sets, t)
 

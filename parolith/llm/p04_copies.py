@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parolith.llm.common import cut, not_blank, quoted
+from parolith.llm.common import cut, not_blank, quoted, with_id
 from parolith.llm.textforms import is_case, words
 
 #: Letters counted together in level 1, a few common ones of each script in each group.
@@ -44,7 +44,7 @@ def copy_keys(df: DataFrame, id_col: str, a: str, b: str, skip_form_cases: bool
 
     Records whose first field is null or blank take no part, nor, if asked, those with a character in an unusual form in it.
     """
-    rows = df.select(quoted(id_col).cast("long").alias("id"), quoted(a).cast("string").alias("a"), quoted(b).cast("string").alias("b")).where(not_blank("a"))
+    rows = with_id(df, id_col).select(quoted(id_col).cast("long").alias("id"), quoted(a).cast("string").alias("a"), quoted(b).cast("string").alias("b")).where(not_blank("a"))
     rows = rows.withColumn("inv", cheap_invariants(F.col("a"), F.col("b")))
     several = rows.groupBy("inv").agg(F.count("*").alias("n")).where("n > 1").select("inv")
     survivors = rows.join(several, "inv").select("id", "a", "b")

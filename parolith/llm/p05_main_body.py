@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parolith.llm.common import cut, not_blank, quoted
+from parolith.llm.common import cut, not_blank, quoted, with_id
 
 HOST_SHARE, HOST_LEAST = 0.2, 5
 ABOVE_SHARE, ABOVE_LEAST = 0.1, 2
@@ -42,7 +42,7 @@ def _subject(people: Column, url: Column) -> Column:
 def page_lines(df: DataFrame, id_col: str, url_col: str, people_col: str, text_col: str) -> DataFrame:
     """(page, line_no, host, line, template, zone, sentence, heading): one row per line that isn't blank; zone is -1 above the heading, 0 for it, 1 below."""
     host = F.lower(F.regexp_extract(quoted(url_col), r"^[a-zA-Z]+://(?:www\.)?([^/:?#]+)", 1))
-    pages = df.select(quoted(id_col).cast("long").alias("page"), F.coalesce(host, F.lit("")).alias("host"), _subject(quoted(people_col).cast("string"), quoted(url_col)).alias("subject"), quoted(text_col).cast("string").alias("text"))
+    pages = with_id(df, id_col).select(quoted(id_col).cast("long").alias("page"), F.coalesce(host, F.lit("")).alias("host"), _subject(quoted(people_col).cast("string"), quoted(url_col)).alias("subject"), quoted(text_col).cast("string").alias("text"))
     lines = pages.where(not_blank("text")).withColumn("lines", F.split("text", "\n"))
     own = F.expr("filter(sequence(0, size(lines) - 1), i -> contains(lower(lines[i]), lower(subject)) and length(lines[i]) <= length(subject) + 60 and not lines[i] rlike '%s')" % _TRAIL)
     lines = lines.withColumn("at", F.coalesce(F.when(F.col("subject").isNotNull(), F.try_element_at(own, F.lit(1))), F.lit(-1)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parolith.llm.common import bounded_rows, not_blank, quoted
+from parolith.llm.common import bounded_rows, not_blank, quoted, with_id
 
 ARTICLES = ("the",)
 NOUNS = ("people", "peoples", "proverbs", "proverb", "sayings", "folk sayings", "folk", "culture", "nation")
@@ -134,7 +134,7 @@ def map_entries(df: DataFrame, id_col: str, value_col: str, reference: DataFrame
     entries = [r[0] for r in bounded_rows(reference.select(quoted(entry_col).cast("string")).where(not_blank(quoted(entry_col))).distinct(), max_entries, "the reference list")]
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(entries)  # bounded by max_entries
-    rows = df.select(quoted(id_col).cast("long").alias("id"), quoted(value_col).cast("string").alias("value")).where(not_blank("value"))
+    rows = with_id(df, id_col).select(quoted(id_col).cast("long").alias("id"), quoted(value_col).cast("string").alias("value")).where(not_blank("value"))
     if not keep_exact and entries:
         listed = spark.createDataFrame([(e,) for e in entries], "value string")
         rows = rows.join(F.broadcast(listed), "value", "left_anti").select("id", "value")

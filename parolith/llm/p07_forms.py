@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parolith.llm.common import quoted
+from parolith.llm.common import quoted, with_id
 from parolith.llm.textforms import is_case, one_form
 
 #: Anything but printable ASCII; only such texts can be a case.
@@ -52,5 +52,5 @@ def find_forms(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
                 fields += [name] * len(got)
             yield pd.DataFrame({id_col: pd.Series(ids, dtype="int64"), "field": pd.Series(fields, dtype="object")})
 
-    picked = df.where(unusual).select(quoted(id_col).cast("long").alias("id"), *[quoted(c).alias(f"t{k}") for k, c in enumerate(names)])
+    picked = with_id(df, id_col).where(unusual).select(quoted(id_col).cast("long").alias("id"), *[quoted(c).alias(f"t{k}") for k, c in enumerate(names)])
     return picked.mapInPandas(run, T.StructType([T.StructField(id_col, T.LongType()), T.StructField("field", T.StringType())]))

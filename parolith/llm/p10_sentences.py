@@ -23,24 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parolith.llm.common import not_blank, quoted
+from parolith.llm.common import not_blank, quoted, with_id
 
-#: Abbreviations that stand before what they belong to, by language; the sentence goes on after them.
+#: Abbreviations that stand before what they belong to; the sentence goes on after them.
 BEFORE = """
-dr mr mrs ms mx prof st mt rev hon gen col capt lt sgt gov sen rep pres messrs jr sr cf no nos vol vols fig figs ver ed eds approx al vs e.g i.e ca c.f ch sec art pp
-jan feb mar apr jun jul aug sep sept oct nov dec dept est gov
-nr bd bde hr fr frl hl abs abb tab bzw vgl evtl ggf zzgl inkl sog str ing dipl max min z.b d.h u.a s.o
-mme mlle mgr me mm cf env chap ex p.ex av apr st ste
-sra srta srtas dra dres sres ud uds núm núms pág págs cap tel avda gral lic p.ej
-dott dottssa prof sig sigg sig.ra sig.na sig.ri avv geom rag on pag pagg cap ad.es n.b es
-profa pag págs eng exmo exma sras drs
-dhr mevr mw blz bijv bv ca drs ir mr nl o.a d.w.z t.w.z jl resp
-doç yrd sn örn bkz s yy hz av
-проф акад доц им см стр рис табл гл ул г гг тов гр напр т.е т.н руб коп тыс млн млрд св
-د أ م ص ج
-डॉ पृ श्री सं प्रो
+dr mr mrs ms mx sr srs prof st mt rev hon gen col capt lt sgt gov sen rep pres messrs cf eds al vs e.g i.e c.f dept approx
+hr fr frl bzw vgl evtl ggf zzgl inkl sog dipl z.b d.h u.a s.o mme mlle mgr env p.ex av ste
+sra srta srtas dra dres sres gral p.ej dott dottssa sig sigg sig.ra sig.na sig.ri avv geom rag ad.es n.b exmo exma sras drs profa
+dhr mevr mw bijv bv o.a d.w.z t.w.z resp doç yrd sn örn bkz
+проф акад доц им см напр т.е т.н гр тов
+д د أ م ص ج
+डॉ श्री प्रो
 ดร นพ พญ ผศ รศ ศ พ ค
 """.split()
+#: Abbreviations that go on only if a number follows; elsewhere they are words like others ("No.", "mar.", "fig.").
+NUMBERED = """
+no nos nr vol vols fig figs ver ed ch sec art pp p ca bd bde abb tab str abs n núm núms pág págs cap tel pag pagg chap blz s jl hz yy
+jan feb mar apr jun jul aug sep sept oct nov dec avr juil févr janv déc ene abr ago dic gen mag giu lug set ott okt dez
+стр рис табл гл г руб коп тыс पृ सं
+""".split()
 #: Abbreviations that may also be the last word of a sentence; they end it where a sentence can begin next.
 EITHER = "etc usw enz ecc vb т.д т.п др p.m a.m u.s.w co inc ltd corp u.k u.s bros jr i.p".split()
 #: Month names before which a number with a full stop is an ordinal.
@@ -69,18 +70,18 @@ _WORDS_OF_ONE = set("яиaoyeéàèuIОЯИ")
 class AbbreviationTrie:
     """Abbreviations spelled backwards, blanks and inner stops left out of account; ``at`` walks back from a full stop."""
 
-    def __init__(self, before: list[str], either: list[str]):
+    def __init__(self, before: list[str], numbered: list[str], either: list[str]):
         self.root: dict = {}
-        for kind, ws in (("before", before), ("either", either)):
+        for kind, ws in (("number", numbered), ("before", before), ("either", either)):
             for w in ws:
                 node = self.root
                 for ch in reversed(w.replace(".", "")):
                     node = node.setdefault(ch, {})
-                node[""] = kind
+                node[""] = kind  # of two kinds the later one
                 node["parts"] = w.count(".") + 1
 
     def at(self, text: str, stop: int) -> str:
-        """"before", "either" or "": the abbreviation that ends at the full stop at this place."""
+        """"before", "number", "either" or "": the abbreviation that ends at the full stop at this place."""
         node, i, kind, parts = self.root, stop - 1, "", 1
         while i >= 0:
             ch = text[i].lower()
@@ -97,7 +98,7 @@ class AbbreviationTrie:
         return kind
 
 
-_TRIE = AbbreviationTrie(BEFORE, EITHER)
+_TRIE = AbbreviationTrie(BEFORE, NUMBERED, EITHER)
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
@@ -178,7 +179,7 @@ def _ends_here(text: str, s: int, e: int) -> bool:
         if word.isdigit() and follows == "digit" or kind or len(word) < 3 and not word.isdigit():
             return False
         return follows in ("upper", "other") or follows == "digit" and word.isalpha() and word.islower() and len(word) > 2 or nxt in "\"«“„¿¡" and follows == "upper"
-    if kind == "before":
+    if kind == "before" or kind == "number" and follows == "digit":
         return False
     if kind == "either":
         return follows in ("upper", "digit", "other")
@@ -292,5 +293,5 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str, with_text: bool =
                 rows = [(ident, k, a, b, text[a:b] if with_text else None) for ident, text in zip(p["id"].tolist(), p["text"]) for k, (a, b) in enumerate(sentences(text))]
                 yield pd.DataFrame(rows, columns=[f.name for f in _OUT]).astype({"id": "int64", "seq": "int32", "start_pos": "int32", "end_pos": "int32"})
 
-    picked = df.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).where(not_blank(F.col("text")))
+    picked = with_id(df, id_col).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).where(not_blank(F.col("text")))
     return picked.mapInPandas(run, _OUT)

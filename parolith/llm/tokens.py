@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parolith.llm.common import quoted
+from parolith.llm.common import quoted, with_id
 
 DEFAULT_FILE = "byte_bpe_multi_50k.tiktoken"
 _LOADED: dict = {}
@@ -36,7 +36,7 @@ def encoder(path: str):
 def token_counts(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """(id, n_tokens, *keep): the tokens of every whole text; a null or empty one has none."""
     path = path or default_path()
-    picked = df.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), *[quoted(k) for k in keep])
+    picked = with_id(df, id_col).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"), *[quoted(k) for k in keep])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_tokens", T.LongType()), *[picked.schema[k] for k in keep]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
