@@ -108,7 +108,7 @@ def rank_correlations(matrix: DataFrame, metadata: DataFrame, least: int = 3) ->
     ranked = long.withColumn("rx", average_ranks(long, "x", ["theme", "meta_col"])).withColumn("ry", average_ranks(long, "y", ["theme", "meta_col"]))
     spread = F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
     rho = ranked.groupBy("theme", "meta_col").agg((F.covar_pop("rx", "ry") / spread).alias("correlation"), F.count("*").alias("sample_size")).where((F.col("sample_size") >= least) & F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-    p = F.udf(spearman_p, "double")  # a row per theme and proxy, 24 at most
+    p = F.udf(lambda r, n: spearman_p(r, n), "double", useArrow=False)  # a row per theme and proxy, 24 at most
     return rho.withColumn("p_value", p("correlation", "sample_size")).withColumn("significant", F.col("p_value") < 0.05)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parolith.operators import clean, clusters, diagnostics, embed, experiments, interpret, validation
 from parolith.operators.graph import components
-from parolith.operators.linkage import average_linkage, cluster_vectors
+from parolith.operators.linkage import average_linkage, cluster_vectors, cophenetic_correlation
 from parolith.operators.tfidf import Grams, mean_similarity, similar_pairs, tfidf
 from parolith.schemas import CLUSTERS, SAYINGS, conform, empty
 from parolith.sources import files, pages
@@ -43,6 +43,18 @@ def test_average_linkage_equals_naive():
         assert {frozenset(g) for g in got.values()} == naive_linkage(x, below)
 
 
+def test_cophenetic():
+    x = unit(np.random.default_rng(9), 30, 6)
+    d = 1 - x @ x.T
+    groups, high = [[i] for i in range(30)], np.zeros((30, 30))
+    while len(groups) > 1:
+        h, k, m = min((np.mean(d[np.ix_(a, b)]), k, m) for k, a in enumerate(groups) for m, b in enumerate(groups) if k < m)
+        high[np.ix_(groups[k], groups[m])] = high[np.ix_(groups[m], groups[k])] = h
+        groups[k] += groups.pop(m)
+    upper = np.triu_indices(30, 1)
+    assert abs(cophenetic_correlation(x) - np.corrcoef(d[upper], high[upper])[0, 1]) < 1e-9
+
+
 def vectors(spark, x):
     return spark.createDataFrame([(i, f"t{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r) if v > 0], "id long, term string, w double")
 
@@ -61,6 +73,7 @@ def test_pairs_and_clusters_equal_brute_force(spark):
         got.setdefault(r["cluster_id"], set()).add(r["id"])
     assert {frozenset(g) for g in got.values()} == naive_linkage(x, 0.3) | {frozenset({40}), frozenset({41})}
     assert sorted(got) == list(range(len(got))) and [min(got[k]) for k in sorted(got)] == sorted(min(g) for g in got.values())
+    assert all(0.3 < r["adjusted_rand"] <= 1 for r in experiments.bootstrap_agreement(v, spark.range(40), 0.3, draws=2, ratio=0.9).collect())
     iu = np.triu_indices(40, 1)
     assert abs(mean_similarity(v) - sims[iu].mean()) < 1e-9
 
