@@ -48,7 +48,6 @@ WORD_FLOOR, UNKNOWN_FLOOR = 7.0, 1.2
 PENALTY = 9.0
 SWITCH_AT_MARK, SWITCH_INSIDE = 6.0, 14.0
 ROUNDS = 12
-MOST_LANGUAGES = 4
 
 #: Words; in scripts without blanks single characters (Han, kana) or short pieces (Thai, Lao, Khmer, Burmese).
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff々]|[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]{1,3}|[^\W\d_](?:[^\W\d_]|[̀-ͯ҃-ً҇-ٰٟऀ-ःऺ-ॏ॑-ॗॢॣัิ-ฺ็-๎])*")
@@ -201,7 +200,7 @@ def choose_languages(score: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray
     sets = chosen[open_].copy()
     alive = np.arange(len(open_))
     everything, _ = mixture(sub, own, len(open_), np.ones((len(open_), k)))
-    for _ in range(MOST_LANGUAGES - 1):
+    for _ in range(k - 1):
         if not len(alive):
             break
         renum = np.full(len(open_), -1)
