@@ -53,9 +53,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Tables whose rows cost much work each; the others are small or cheap.
+_HEAVY = frozenset("sayings_raw items documents page_captures".split())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where the files make fewer partitions than there are cores; a large table stays as it is read."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df._jdf.rdd().getNumPartitions() < width else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in _HEAVY else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
