@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parolith import engine
 from parolith.functions import claims as C
 from parolith.functions import labels as L
 from parolith.functions import patterns as P
@@ -486,6 +487,12 @@ def hac_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.cluster_vectors(v, v.select("id").distinct(), 0.35)
 
 
+@query()
+def sayings_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustering pipeline of the engine: each claim's cluster."""
+    return engine.cluster_sayings(sayings(spark, sf_dir))[1].select("row_id", "claim", "cluster_id")
+
+
 @query()
 def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _item_vectors(spark, sf_dir)

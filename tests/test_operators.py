@@ -78,6 +78,16 @@ def test_pairs_and_clusters_equal_brute_force(spark):
     assert abs(mean_similarity(v) - sims[iu].mean()) < 1e-9
 
 
+def test_large_components_are_merged_in_rounds(spark):
+    x = unit(np.random.default_rng(11), 30, 8)
+    v, want = vectors(spark, x), naive_linkage(x, 0.35)
+    for bounds in ({"most_rows": 4}, {"most_rows": 1}):
+        got = {}
+        for r in cluster_vectors(v, spark.range(30), 0.35, **bounds).collect():
+            got.setdefault(r["cluster_id"], set()).add(r["id"])
+        assert {frozenset(g) for g in got.values()} == want and 1 < len(want) < 30
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7), (None, 3)]
