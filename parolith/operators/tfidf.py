@@ -102,6 +102,12 @@ def adaptive_threshold(n: int, similarity: float | None, start: float = 0.35) ->
     return start * (0.8 if similarity > 0.3 else 1.2 if similarity < 0.1 else 1.0)
 
 
+def used_threshold(items: DataFrame, id_col: str, text_col: str, start: float = 0.35) -> float:
+    """The adaptive threshold of a table; similarities are looked at only where the number of rows leaves it open."""
+    n = items.count()
+    return adaptive_threshold(n, mean_similarity(tfidf(items, id_col, text_col, THRESHOLD)) if 50 <= n <= 500 else None, start)
+
+
 def similar_pairs(vectors: DataFrame, least: float, tail: float = 0.5) -> DataFrame:
     """(a, b, cosine) of all pairs a < b of unit vectors with cosine >= least > 0, exactly.
 

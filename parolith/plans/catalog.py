@@ -469,22 +469,30 @@ def ngram_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.tfidf(table(spark, sf_dir, "items"), "ord", "claim", tfidf.CLUSTERING).withColumn("w", F.round("w", 6))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.keep_first(table(spark, sf_dir, "items").select("ord", "claim"), ["claim"], "ord")
+
+
 def _item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the distinct claims' reduced wording; equal texts stand for each other."""
-    items = clean.keep_first(table(spark, sf_dir, "items").select("ord", "claim"), ["claim"], "ord").withColumn("processed", C.reduce_wording(F.col("claim")))
-    return cut(tfidf.tfidf(items, "ord", "processed", tfidf.CLUSTERING))
+    return cut(tfidf.tfidf(_items(spark, sf_dir).withColumn("processed", C.reduce_wording(F.col("claim"))), "ord", "processed", tfidf.CLUSTERING))
+
+
+def _item_threshold(spark: SparkSession, sf_dir: str) -> float:
+    """The threshold the engine would use for the distinct claims."""
+    return tfidf.used_threshold(_items(spark, sf_dir), "ord", "claim")
 
 
 @query()
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.similar_pairs(_item_vectors(spark, sf_dir), 0.65)
+    return tfidf.similar_pairs(_item_vectors(spark, sf_dir), 1.0 - _item_threshold(spark, sf_dir))
 
 
 @query()
 def hac_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average linkage of the distinct claims at 0.35."""
+    """Average linkage of the distinct claims at the adaptive threshold."""
     v = _item_vectors(spark, sf_dir)
-    return linkage.cluster_vectors(v, v.select("id").distinct(), 0.35)
+    return linkage.cluster_vectors(v, v.select("id").distinct(), _item_threshold(spark, sf_dir))
 
 
 @query()

@@ -78,6 +78,19 @@ def test_pairs_and_clusters_equal_brute_force(spark):
     assert abs(mean_similarity(v) - sims[iu].mean()) < 1e-9
 
 
+def test_queries_take_the_adaptive_threshold(spark, monkeypatch):
+    from parolith.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog, "_item_vectors", lambda spark, sf_dir: spark.range(1))
+    monkeypatch.setattr(catalog, "_items", lambda spark, sf_dir: spark.range(501).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("claim")))
+    monkeypatch.setattr(catalog.linkage, "cluster_vectors", lambda v, ids, threshold: seen.append(threshold))
+    monkeypatch.setattr(catalog.tfidf, "similar_pairs", lambda v, least: seen.append(1 - least))
+    catalog.QUERIES["hac_clusters"](spark, "")
+    catalog.QUERIES["pair_similarity"](spark, "")
+    assert np.allclose(seen, 0.45)
+
+
 def test_large_components_are_merged_in_rounds(spark):
     x = unit(np.random.default_rng(11), 30, 8)
     v, want = vectors(spark, x), naive_linkage(x, 0.35)
