@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parolith.functions.labels import DIAGNOSTIC_THEMES, low_med_high, theme_of, trust_band
+from parolith.session import cut
 
 PROXIES = ("maritime_orientation", "urbanization_level", "individualism_proxy", "uncertainty_avoidance_proxy")
 
@@ -52,6 +53,25 @@ def silhouette(rows: DataFrame, vector: str, label: str) -> tuple[float | None,
     return ClusteringEvaluator(distanceMeasure="cosine").evaluate(made), ""
 
 
+def term_silhouette(vectors: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """One row: mean cosine silhouette of vectors (id, cluster, term, w) of non-negative weights; null where silhouette() is undefined.
+
+    A mean distance to a cluster is 1 less the product with its mean vector. Rows alone in their cluster count as 0 and meet no other cluster.
+    """
+    sizes = vectors.select("id", cluster).distinct().groupBy(cluster).agg(F.count("*").alias("n"))
+    means = vectors.groupBy(cluster, "term").agg(F.sum("w").alias("s")).join(sizes, cluster)
+    means = cut(means.select(F.col(cluster).alias("other"), "term", (F.col("s") / F.col("n")).alias("m")))
+    rows = cut(vectors.join(sizes.where("n >= 2"), cluster).select("id", F.col(cluster).alias("own"), "n", "term", "w"))
+    dots = rows.join(means, "term").groupBy("id", "own", "n", "other").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    inside = F.max(F.when(F.col("other") == F.col("own"), (F.col("dot") * F.col("n") - 1) / (F.col("n") - 1)))
+    # a cluster that shares no term is at distance 1
+    outside = F.coalesce(F.max(F.when(F.col("other") != F.col("own"), F.col("dot"))), F.lit(0.0))
+    each = dots.groupBy("id", "n").agg((1 - inside).alias("a"), (1 - outside).alias("b"))
+    score = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
+    total = sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("k"), F.max("n").alias("most"))
+    return total.crossJoin(each.agg(F.sum(score).alias("sum"))).select(F.when((F.col("k") >= 2) & (F.col("most") >= 2), F.col("sum") / F.col("rows")).alias("silhouette"))  # one row each
+
+
 def hash_order(*parts: Column) -> Column:
     """A number that orders rows at random, the same in every run and every engine."""
     return F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))

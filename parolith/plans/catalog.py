@@ -504,7 +504,19 @@ def sayings_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _item_vectors(spark, sf_dir)
-    return experiments.threshold_sweep(v, v.select("id").distinct(), (0.25, 0.3, 0.35))
+    return experiments.threshold_sweep(v, v.select("id").distinct(), (0.25, 0.3, 0.35, 0.4, 0.45))
+
+
+@query()
+def bootstrap_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the clustering at the adaptive threshold with those of subsamples."""
+    v = _item_vectors(spark, sf_dir)
+    return experiments.bootstrap_agreement(v, v.select("id").distinct(), _item_threshold(spark, sf_dir))
+
+
+@query()
+def cophenetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(experiments.sample_cophenetic(_item_vectors(spark, sf_dir)),)], "cophenetic double")
 
 
 @query()

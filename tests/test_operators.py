@@ -91,6 +91,28 @@ def test_queries_take_the_adaptive_threshold(spark, monkeypatch):
     assert np.allclose(seen, 0.45)
 
 
+def test_sweep_has_all_thresholds_and_silhouettes(spark):
+    from parolith.plans import catalog
+
+    x = unit(np.random.default_rng(12), 20, 6)
+    v, d, seen = vectors(spark, x), 1 - x @ x.T, {}
+    for r in experiments.threshold_sweep(v, spark.range(20), (0.2, 0.4)).collect():
+        groups = naive_linkage(x, r["threshold"])
+        scores = []
+        for g in groups:
+            for i in g if len(g) > 1 else ():
+                a, b = d[i, list(g - {i})].mean(), min(d[i, list(h)].mean() for h in groups if h != g)
+                scores.append((b - a) / max(a, b))
+        seen[r["threshold"]] = abs(r["silhouette"] - sum(scores) / 20) < 1e-9 and r["n_clusters"] == len(groups) > 1
+    assert seen == {0.2: True, 0.4: True}
+    swept = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog, "_item_vectors", lambda spark, sf_dir: v)
+        m.setattr(catalog.experiments, "threshold_sweep", lambda v, ids, thresholds: swept.extend(thresholds))
+        catalog.QUERIES["tau_sweep"](spark, "")
+    assert swept == [0.25, 0.3, 0.35, 0.4, 0.45]
+
+
 def test_large_components_are_merged_in_rounds(spark):
     x = unit(np.random.default_rng(11), 30, 8)
     v, want = vectors(spark, x), naive_linkage(x, 0.35)
