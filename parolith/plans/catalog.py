@@ -534,11 +534,23 @@ def rand_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.rand_index(a, a)
 
 
+@query()
+def threshold_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the clusterings at the least and the greatest threshold of the sweep."""
+    v = _item_vectors(spark, sf_dir)
+    ids = v.select("id").distinct()
+    pairs = cut(tfidf.similar_pairs(v, 1.0 - 0.45))
+    return experiments.rand_index(linkage.cluster_vectors(v, ids, 0.25, pairs=pairs), linkage.cluster_vectors(v, ids, 0.45, pairs=pairs))
+
+
 @query()
 def mixing_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How mixed the peoples of each theme's claims are, against random draws."""
-    items = table(spark, sf_dir, "items").where("people is not null").select("ord", "people", F.substring_index("claim", " ", 1).alias("cluster_id"))
-    return experiments.mixing_baseline(items, "people", id_col="ord", permutations=50)
+    """How mixed the peoples of each cluster of claims are, against random draws; equal claims share their first row's cluster."""
+    items = table(spark, sf_dir, "items").where("people is not null").select("ord", "people", "claim")
+    firsts = _items(spark, sf_dir).select(F.col("ord").alias("id"), "claim")
+    labels = linkage.cluster_vectors(_item_vectors(spark, sf_dir), firsts.select("id"), _item_threshold(spark, sf_dir))
+    members = cut(items.join(firsts.join(labels, "id"), "claim").select("ord", "people", "cluster_id"))
+    return experiments.mixing_baseline(members, "people", id_col="ord")
 
 
 @query("WITH s AS (SELECT row_id, people, row_number() OVER (PARTITION BY people ORDER BY md5('0/' || row_id), row_id) AS place, count(*) OVER (PARTITION BY people) AS size FROM sayings_raw) SELECT row_id, people FROM s WHERE place <= ceil(size * 0.2 - 1e-9)")

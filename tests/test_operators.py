@@ -113,6 +113,22 @@ def test_sweep_has_all_thresholds_and_silhouettes(spark):
     assert swept == [0.25, 0.3, 0.35, 0.4, 0.45]
 
 
+def test_mixing_and_agreement_take_real_clusters(spark, monkeypatch, tmp_path):
+    from parolith.plans import catalog
+
+    claims = ["still waters run deep", "still waters run deeper", "haste makes waste", "hunger is the best sauce", "haste makes waste"]
+    spark.createDataFrame([(k, f"P{k}", c) for k, c in enumerate(claims)], "ord long, people string, claim string").write.parquet(str(tmp_path / "items.parquet"))
+    seen, mixing = [], experiments.mixing_baseline
+    monkeypatch.setattr(catalog.experiments, "mixing_baseline", lambda m, value, **k: seen.append((m, k)) or mixing(m, value, **k))
+    assert sorted(r["n_values"] for r in catalog.QUERIES["mixing_baseline"](spark, str(tmp_path)).collect()) == [1, 2, 2]
+    members, given = seen[0]
+    label = {r["ord"]: r["cluster_id"] for r in members.collect()}
+    assert label[0] == label[1] != label[2] == label[4] != label[3] and "permutations" not in given
+    at = []
+    monkeypatch.setattr(catalog.linkage, "cluster_vectors", lambda v, ids, t, **k: at.append(t) or ids.select("id", (F.col("id") % (2 if t < 0.3 else 3)).alias("cluster_id")))
+    assert catalog.QUERIES["threshold_rand"](spark, str(tmp_path)).first()[0] < 1 and at == [0.25, 0.45]
+
+
 def test_large_components_are_merged_in_rounds(spark):
     x = unit(np.random.default_rng(11), 30, 8)
     v, want = vectors(spark, x), naive_linkage(x, 0.35)
