@@ -107,8 +107,8 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["p4_groups"] = r"""
 WITH folded AS (
   SELECT row_id,
-         trim(regexp_replace(replace(lower(upper(replace(saying, 'ß', 'ss'))), chr(775), ''), '[\p{P}\p{S}\p{Z}\s]+', ' ', 'g')) AS a,
-         trim(regexp_replace(replace(lower(upper(replace(coalesce(english_equivalent, ''), 'ß', 'ss'))), chr(775), ''), '[\p{P}\p{S}\p{Z}\s]+', ' ', 'g')) AS b
+         trim(regexp_replace(replace(lower(upper(replace(replace(saying, 'ß', 'ss'), 'ẞ', 'ss'))), chr(775), ''), '[\p{P}\p{S}\p{Z}\s]+', ' ', 'g')) AS a,
+         trim(regexp_replace(replace(lower(upper(replace(replace(coalesce(english_equivalent, ''), 'ß', 'ss'), 'ẞ', 'ss'))), chr(775), ''), '[\p{P}\p{S}\p{Z}\s]+', ' ', 'g')) AS b
   FROM sayings_raw WHERE saying IS NOT NULL AND regexp_matches(saying, '[^\s\p{Z}]'))
 SELECT min(row_id) AS first_id, count(*) AS n_copies FROM folded
 GROUP BY least(a, b), greatest(a, b) HAVING count(*) > 1

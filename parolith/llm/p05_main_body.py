@@ -11,12 +11,15 @@ is the first line that names the page's subject (from the people column or the a
    headings, or that one host repeats and no other knows, belongs to the site and not to the page.
 3. The pages are read again with the winning paths: heading, and all containers below it that neither score nor vote rules out.
 
+A page has one vote for each template, however often it repeats the line: templates are made distinct inside the page's row.
 Votes are counts with map-side partial sums; a host that holds a third of all pages adds no more rows to a vote than it has
 different templates, and the votes come back by a join that AQE may split. All work is done in the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +42,40 @@ def _subject(people: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(people), F.lit("")), F.nullif(F.trim(F.translate(F.coalesce(decoded, segment), "_", " ")), F.lit("")))
 
 
-def page_lines(df: DataFrame, id_col: str, url_col: str, people_col: str, text_col: str) -> DataFrame:
-    """(page, line_no, host, line, template, zone, sentence, heading): one row per line that isn't blank; zone is -1 above the heading, 0 for it, 1 below."""
+def page_containers(df: DataFrame, id_col: str, url_col: str, people_col: str, text_col: str) -> DataFrame:
+    """(page, host, items): a row per page with a text; items are its lines that aren't blank as (line_no, line, template, zone, sentence).
+
+    zone is -1 above the heading, 0 for it, 1 below.
+    """
     host = F.lower(F.regexp_extract(quoted(url_col), r"^[a-zA-Z]+://(?:www\.)?([^/:?#]+)", 1))
     pages = with_id(df, id_col).select(quoted(id_col).cast("long").alias("page"), F.coalesce(host, F.lit("")).alias("host"), _subject(quoted(people_col).cast("string"), quoted(url_col)).alias("subject"), quoted(text_col).cast("string").alias("text"))
     lines = pages.where(not_blank("text")).withColumn("lines", F.split("text", "\n"))
     own = F.expr("filter(sequence(0, size(lines) - 1), i -> contains(lower(lines[i]), lower(subject)) and length(lines[i]) <= length(subject) + 60 and not lines[i] rlike '%s')" % _TRAIL)
     lines = lines.withColumn("at", F.coalesce(F.when(F.col("subject").isNotNull(), F.try_element_at(own, F.lit(1))), F.lit(-1)))
-    each = lines.select("page", "host", "subject", "at", F.posexplode("lines").alias("line_no", "raw"))
-    each = each.withColumn("line", F.regexp_replace("raw", _WHITE, "")).where("line != ''")
-    zone = F.when(F.col("at") < 0, -1).otherwise(F.signum(F.col("line_no") - F.col("at")).cast("int"))
-    open_ = F.regexp_replace(F.replace(F.replace(F.lower("line"), F.lower("subject"), F.lit("\x01")), F.col("host"), F.lit("\x02")), "[0-9]+", "0")
-    open_ = F.when(F.col("subject").isNull() | (F.col("host") == ""), F.regexp_replace(F.lower("line"), "[0-9]+", "0")).otherwise(open_)
-    return each.select("page", "line_no", "host", "line", F.xxhash64(open_).alias("template"), zone.alias("zone"), F.col("line").rlike(_SENTENCE).alias("sentence"))
+    bare = F.transform("lines", lambda raw, i: F.struct(i.alias("line_no"), F.regexp_replace(raw, _WHITE, "").alias("line")))
+
+    def container(x: Column) -> Column:
+        low = F.lower(x["line"])
+        named = F.replace(F.replace(low, F.lower("subject"), F.lit("\x01")), F.col("host"), F.lit("\x02"))
+        open_ = F.regexp_replace(F.when(F.col("subject").isNull() | (F.col("host") == ""), low).otherwise(named), "[0-9]+", "0")
+        zone = F.when(F.col("at") < 0, -1).otherwise(F.signum(x["line_no"] - F.col("at")).cast("int"))
+        return F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.xxhash64(open_).alias("template"), zone.alias("zone"), x["line"].rlike(_SENTENCE).alias("sentence"))
 
+    return lines.select("page", "host", F.transform(F.filter(bare, lambda x: x["line"] != ""), container).alias("items"))
 
-def site_paths(lines: DataFrame) -> DataFrame:
+
+def site_paths(pages: DataFrame) -> DataFrame:
     """(host, template) of the paths that the votes give to the site; host is null for a template that goes for all hosts."""
-    pages = lines.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    per_host = lines.where("zone != 0").groupBy("host", "template").agg(F.count("*").alias("n"), F.sum(F.when(F.col("zone") < 0, 1).otherwise(0)).alias("above"))
-    per_host = cut(per_host.join(pages, "host"))
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+
+    def templates(of: Callable[[Column], Column]) -> Column:
+        return F.array_distinct(F.transform(F.filter("items", of), lambda x: x["template"]))
+
+    held = F.transform(templates(lambda x: x["zone"] != 0), lambda t: F.struct(t.alias("template"), F.lit(0).alias("above")))
+    above = F.transform(templates(lambda x: x["zone"] < 0), lambda t: F.struct(t.alias("template"), F.lit(1).alias("above")))
+    votes = pages.select("host", F.explode(F.concat(held, above)).alias("v")).select("host", "v.template", "v.above")
+    per_host = votes.groupBy("host", "template").agg(F.count_if(F.col("above") == 0).alias("n"), F.sum("above").alias("above"))
+    per_host = cut(per_host.join(sizes, "host"))
     overall = per_host.groupBy("template").agg(F.sum("n").alias("n_all"), F.sum("above").alias("above_all"), F.max(F.when(F.col("n") >= HOST_LEAST, F.col("n") / F.col("pages"))).alias("top"))
     everywhere = overall.where(((F.col("above_all") >= ABOVE_LEAST) & (F.col("above_all") >= ABOVE_SHARE * F.col("n_all"))) | (F.col("top") >= HOST_SHARE)).select(F.lit(None).cast("string").alias("host"), "template")
     alone = per_host.where((F.col("n") >= OWN_LEAST) & (F.col("n") >= OWN_PAGES * F.col("pages"))).join(overall.select("template", "n_all"), "template").where(F.col("n") >= OWN_SHARE * F.col("n_all"))
@@ -71,8 +88,9 @@ def judge_lines(df: DataFrame, id_col: str, url_col: str, people_col: str, text_
     Pages with a null or blank text have no lines; a page whose heading isn't found (no subject known, or not named) has no
     main body; a null address is a host of its own name; repeated lines are judged alike; other columns take no part.
     """
-    lines = cut(page_lines(df, id_col, url_col, people_col, text_col))
-    paths = cut(site_paths(lines))
+    pages = cut(page_containers(df, id_col, url_col, people_col, text_col))
+    paths = cut(site_paths(pages))
+    lines = pages.select("page", "host", F.inline("items"))
     everywhere = paths.where("host is null").select("template", F.lit(True).alias("all_sites"))
     own = paths.where("host is not null").select("host", "template", F.lit(True).alias("own_site"))
     judged = lines.join(everywhere, "template", "left").join(own, ["host", "template"], "left")

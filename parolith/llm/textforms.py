@@ -183,13 +183,16 @@ def is_case(text: str | None) -> bool:
     return text is not None and not (text.isascii() and text.isprintable()) and one_form(text) != text
 
 
-_APART = regex.compile(r"[\p{P}\p{S}\s]+")
+_APART = regex.compile(r"[\p{P}\p{S}\p{Cc}\s]+")
 _CASED_APART = regex.compile(r"[^\w]+", regex.ASCII)
 
 
 def fold(text: str) -> str:
-    """Letter case disregarded, in every script: upper first, so that sharp s and dotless i meet their capitals."""
-    return text.lower() if text.isascii() else text.upper().lower().replace("\u0307", "").replace("ς", "σ")
+    """Letter case disregarded, in every script: upper first, so that sharp s and dotless i meet their capitals.
+
+    Each character folds by itself, whatever stands around it; the capital sharp s alone stays a letter when it is lowered.
+    """
+    return text.lower() if text.isascii() else text.upper().lower().replace("\u0307", "").replace("ς", "σ").replace("ß", "ss")
 
 
 def words(text: str | None) -> list[str]:
