@@ -1,8 +1,10 @@
 """Problem 10: sentences of texts in any language and script.
 
-A pushdown automaton reads each text: a stack holds open quotations and brackets, line starts open list levels
-(an enumerator's full stop is none). Marks inside a quotation or bracket end no sentence; a quotation belongs to the
-sentence it stands in. At the ground level each mark that may end a sentence is judged by what stands around it: the
+A pushdown automaton reads each text. One stack holds open quotations and brackets, with the open places of each mark beside
+it, so a closing mark finds its opener at once however deep the nesting is; another holds the list levels. A level is opened by a
+line that begins with a bullet or with an enumerator that starts counting, goes on with the next item of the same kind, and is
+closed by a blank line or by an item of a level further out; each item begins a sentence, and an enumerator's full stop ends none.
+Marks inside a quotation or bracket end no sentence; a quotation belongs to the sentence it stands in. At the ground level each mark that may end a sentence is judged by what stands around it: the
 abbreviation trie (walked backwards from the full stop), initials, decimals, ordinals before a month, and the first
 letter that follows. Marks of scripts without capitals end a sentence by themselves; in Thai and its neighbours, which have
 no such mark, a blank between two letters does. A line feed ends one unless the line was wrapped, that is, the next
@@ -51,8 +53,6 @@ MONTHS = set(
 #: Thai words that open a clause the main clause follows after a blank, and words that go on with the clause before.
 THAI_OPENERS = ("ถ้า", "หาก", "เมื่อ", "ที่ใด", "ใครที่", "แม้", "เพราะ", "ขณะที่", "ก่อนที่", "หลังจาก", "เพื่อ")
 THAI_JOINERS = ("ที่นั่น", "ก็", "จึง", "แต่", "แล้ว", "และ", "หรือ", "เพราะ", "โดย", "ซึ่ง", "อันที่")
-#: Levels of nesting looked through for the opener that a closing mark belongs to.
-DEEPEST = 32
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "„": "“”", "“": "”", "‘": "’", "‹": "›", "»": "«"}
 _QUOTES = set("\"'“”„‘’«»‹›「」『』")
 _CLOSERS = set(")]}）］】」』》〉»”’›\"'")
@@ -61,9 +61,11 @@ _ALONE = "。！？｡।॥؟۔։።፧"
 _ENDS = re.compile(rf"[.!?…{_ALONE}]+(?:\s?[.!?…]+)*")
 _BLANKLESS = r"฀-ໟༀ-࿿က-႟ក-៿"
 _GAP = re.compile(rf"(?<=[{_BLANKLESS}])(?<![ๆ])[^\S\n]+(?=[{_BLANKLESS}\"'“«‘A-ZÀ-ÞА-Я])")
-_BREAK = re.compile(r"[^\S\n]*\n\s*")
+_BREAK = re.compile(r"(?<![^\S\n])[^\S\n]*\n\s*")
+#: A blank line, or the enumerator or bullet that a line begins with.
+_ITEM = re.compile(r"(?m)^[^\S\n]*(?:(?P<gap>$)|(?:(?P<count>[0-9]{1,3}|[a-z])(?P<close>[.)])|(?P<bullet>[•·▪*–—-]))(?=[^\S\n]+\S))")
 _CJK = re.compile(r"[⺀-〿぀-ヿ㐀-鿿豈-﫿＀-￯]")
-_WORD, _SOLID = re.compile(r"\w+"), re.compile(r"\S*")
+_WORD, _SOLID, _SPACE = re.compile(r"\w+"), re.compile(r"\S*"), re.compile(r"\s*")
 _WORDS_OF_ONE = set("яиaoyeéàèuIОЯИ")
 
 
@@ -104,17 +106,20 @@ _TRIE = AbbreviationTrie(BEFORE, NUMBERED, EITHER)
 def _spans(text: str) -> list[tuple[int, int]]:
     """Outermost matched quotations and brackets as (place of the opener, place of the closer); none reaches over a blank line."""
     stack: list[tuple[str, int]] = []
+    awaited: dict[str, list[int]] = {}  # closing mark -> its open places in the stack
     pairs = []
     n = len(text)
     for m in _EVENT.finditer(text):
         ch, i = m.group()[0], m.start()
         if ch == "\n":
             stack.clear()
+            awaited.clear()
             continue
         prev, nxt = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
         if ch in "'’" and prev.isalnum() and nxt.isalnum():
             continue  # an apostrophe
-        at = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1) if ch in stack[k][0]), None)
+        open_at = awaited.get(ch)
+        at = open_at[-1] if open_at else None
         opens = ch in _OPEN or ch in "\"'"
         if ch in "\"'" or ch in "»“":
             starts = (prev.isspace() or prev in "([{—–-:¿¡「（“«\"" or i == 0 or (at is None and not prev.isalnum() and prev not in ".,!?…")) and not nxt.isspace()
@@ -127,9 +132,14 @@ def _spans(text: str) -> list[tuple[int, int]]:
                 opens = False
         if at is not None and not (opens and ch in _OPEN and ch not in "»“"):
             pairs.append((stack[at][1], i))
-            del stack[at:]
+            while len(stack) > at:
+                for closer in stack.pop()[0]:
+                    awaited[closer].pop()
         elif opens:
-            stack.append((_OPEN.get(ch, ch), i))
+            closers = _OPEN.get(ch, ch)
+            for closer in closers:
+                awaited.setdefault(closer, []).append(len(stack))
+            stack.append((closers, i))
     pairs.sort()
     out: list[tuple[int, int]] = []
     for a, b in pairs:
@@ -138,6 +148,33 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def list_items(text: str) -> dict[int, int]:
+    """Place of each list item's first character -> place after its enumerator or bullet; a level of one item is no list.
+
+    Numbers count up from 1 and letters from a; another number or letter at the beginning of a line was only wrapped there.
+    """
+    levels: list[tuple[str, int, list[tuple[int, int]]]] = []  # (kind of mark, last count, items)
+    found: list[list[tuple[int, int]]] = []
+    for m in _ITEM.finditer(text):
+        if m.group("gap") is not None:
+            levels.clear()
+            continue
+        sign = m.group("bullet") or m.group("count")
+        count = 0 if m.group("bullet") else int(sign) if sign.isdigit() else ord(sign) - 96
+        kind = sign if not count else ("1" if sign.isdigit() else "a") + m.group("close")
+        while levels and count != 1 and any(kind == k for k, _, _ in levels[:-1]) and levels[-1][0] != kind:
+            levels.pop()  # an item of a level further out closes those within
+        place = (m.start("bullet") if not count else m.start("count"), m.end())
+        if levels and levels[-1][0] == kind and count != 1:
+            if not count or count == levels[-1][1] + 1:
+                levels[-1][2].append(place)
+                levels[-1] = (kind, count, levels[-1][2])
+        elif count <= 1:
+            levels.append((kind, count, [place]))
+            found.append(levels[-1][2])
+    return dict(place for items in found if len(items) > 1 for place in items)
+
+
 def _begins(text: str, i: int) -> str:
     """What follows at i: "lower", "upper", "digit", "other" (a letter without case), "mark" or "end"; opening marks are looked through."""
     n = len(text)
@@ -217,6 +254,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             k += 1
         return inside[k] if k < len(inside) and inside[k][0] < i <= inside[k][1] else None
 
+    items = list_items(text)
+    enumerators = {e - 1 for e in items.values()}
+    gap_after = -1  # where the sentence begins that had the last gap between letters of a script without blanks
+
+    def solid(at: int) -> int:
+        """The first place from there on that isn't white space."""
+        return _SPACE.match(text, at).end()
+
     width = max(len(x.rstrip()) for x in text.split("\n"))
     events = [(m.start(), m.end(), 0) for m in _ENDS.finditer(text)] + [(m.start(), m.end(), 1) for m in _BREAK.finditer(text)] + [(m.start(), m.end(), 2) for m in _GAP.finditer(text)]
     events += [(b, b + 1, 3) for a, b in spans]
@@ -234,17 +279,23 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 nxt = text[j : j + 1]
                 if nxt and nxt in ",;:，、；：.!?…" + _ALONE:
                     continue
-                whole = not text[cuts[-1] if cuts else 0 : a].strip()
+                whole = solid(cuts[-1] if cuts else 0) >= a
                 if follows in ("upper", "digit", "other") and nxt.isspace() or follows == "end":
                     cuts.append(j)
                 elif follows == "other" and whole and nxt and nxt not in "とって" and text[j : j + 8].lstrip()[:1] not in ("と", "っ"):
                     cuts.append(j)
             continue
+        if kind == 2:
+            start = cuts[-1] if cuts else 0
+            first = gap_after != start
+            gap_after = start
         if covered(s):
             if kind == 1 and text[s:e].count("\n") > 1:
                 cuts.append(s)
             continue
         if kind == 0:
+            if s in enumerators:
+                continue
             j = e
             while j < len(text) and text[j] in ")]}）］】」』》〉»”’›" :
                 j += 1
@@ -252,16 +303,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 cuts.append(j)
         elif kind == 2:
             nxt = text[e : e + 1]
-            clause = text[cuts[-1] if cuts else 0 : s].strip()
-            if text.startswith(THAI_JOINERS, e) or clause.startswith(THAI_OPENERS) and not _GAP.search(clause):
+            if text.startswith(THAI_JOINERS, e) or first and text.startswith(THAI_OPENERS, solid(start)):
                 continue
             if nxt not in "\"'“«‘" or _begins(text, e) == "upper":
                 cuts.append(s)
         else:
-            ended = cuts and not text[cuts[-1] : s].strip()
-            if ended:
+            if cuts and solid(cuts[-1]) >= s:
                 continue
-            if text[s:e].count("\n") > 1 or not _wrapped(text, s, e, width):
+            if e in items or text[s:e].count("\n") > 1 or not _wrapped(text, s, e, width):
                 cuts.append(s)
             elif _GAP.search(text[max(0, s - 1) : s] + " " + text[e : e + 1]):
                 cuts.append(s)

@@ -1,10 +1,13 @@
 """Cases in which rows, votes or stretches were once lost or counted twice."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from parolith.llm.p04_copies import cheap_invariants, find_copies
 from parolith.llm.p05_main_body import judge_lines
+from parolith.llm.p10_sentences import list_items, sentences
 from parolith.llm.textforms import fold, words
 
 
@@ -44,3 +47,34 @@ def test_a_page_has_one_vote_for_a_line(spark):
     pages += [(k, f"http://b{k}.org/y", "Kiri", "Kiri\nThe same remark.\nSaying number of its own " + "abcdefgh"[k] + ".") for k in range(2, 4)]
     got = judge_lines(spark.createDataFrame(pages, "page long, url string, people string, text string"), "page", "url", "people", "text")
     assert got.where("not main").count() == 0
+
+
+# sentences (10)
+
+
+def parts(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+@pytest.mark.parametrize("deep", [3, 40, 200])
+def test_closing_marks_find_their_opener_at_any_depth(deep):
+    text = f"He said (one. {'[' * deep} two. three) and went. Then he left."
+    assert parts(text) == [f"He said (one. {'[' * deep} two. three) and went.", "Then he left."]
+
+
+def test_list_levels():
+    text = "We need:\n1. Bread. And more bread\n  a) brown\n  b) white\n2. Milk\n- one\n- two\n\nIt ended in May\n64. Nobody knew"
+    assert parts(text) == ["We need:", "1. Bread.", "And more bread", "a) brown", "b) white", "2. Milk", "- one", "- two", "It ended in May", "64. Nobody knew"]
+    assert list_items("A line\n1. alone here") == list_items("x\n- alone") == list_items("") == {}
+    assert len(list_items("1. a\n2. b\n4. wrapped\n3. c")) == 3
+
+
+def test_wrapped_text_takes_linear_time():
+    def seconds(n):
+        text = ("a wrapped line of words that goes on and on without a stop\n" * n)[:-1]
+        began = time.perf_counter()
+        assert len(sentences(text)) == 1
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.01)
