@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parolith.llm.p04_copies import cheap_invariants, find_copies
 from parolith.llm.p05_main_body import judge_lines
 from parolith.llm.p10_sentences import list_items, sentences
-from parolith.llm.textforms import fold, words
+from parolith.llm.textforms import fold, one_form, words
 
 
 def rows(df, *columns):
@@ -78,3 +78,25 @@ def test_wrapped_text_takes_linear_time():
 
     seconds(100)
     assert seconds(16_000) < 12 * max(seconds(4_000), 0.01)
+
+
+# forms (7)
+
+
+@pytest.mark.parametrize("text, form", [
+    ("Chapter Ⅳ", "Chapter IV"), ("ϲat and mouse", "cat and mouse"), ("Ꮃater runs", "Water runs"), ("ꓢtone by ꓢtone", "Stone by Stone"), ("ⲟld gold", "old gold"), ("ɡold and lɑnd", "gold and land"), ("оне ϲам", "оне сам"),
+])
+def test_wider_look_alikes(text, form):
+    assert one_form(text) == form
+    assert one_form(form) == form
+
+
+@pytest.mark.parametrize("text", ["ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎠᎪ", "ꓡꓲ-ꓢꓴ ꓥꓳ", "ⲛⲓⲙ ⲡⲉ ⲟⲛ", "λόγος ϲοφία", "[ɡɑːdən] ɪz", "〇一"])
+def test_other_scripts_stay(text):
+    assert one_form(text) == text
+
+
+def test_forms_of_long_mixed_text_take_linear_time():
+    began = time.perf_counter()
+    one_form("оса " * 40_000 + "word")
+    assert time.perf_counter() - began < 5
