@@ -13,7 +13,7 @@ from parolith.llm.p02_clusters import alike_clusters, describe_clusters, gaussia
 from parolith.llm.p03_near import expand_pairs, near_copies, near_groups
 from parolith.llm.p04_copies import find_copies
 from parolith.llm.p05_main_body import judge_lines, main_bodies
-from parolith.llm.p06_entries import map_entries
+from parolith.llm.p06_entries import map_entries, near_entries
 from parolith.llm.p07_forms import find_forms, normalise_forms
 from parolith.llm.p08_packing import fill_report, pack
 from parolith.llm.p09_mixing import mix
@@ -141,6 +141,14 @@ def p6_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("entry").agg(F.count("*").alias("n_rows"), F.count_distinct("value").alias("n_spellings"), F.max("distance").alias("most_edits"))
 
 
+@query
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with all entries within its reach, and the number of records that have it."""
+    spellings = table(spark, sf_dir, "sayings_raw").groupBy("people").agg(F.count("*").alias("n_rows"), F.min("row_id").alias("row_id"))
+    near = near_entries(spellings, "row_id", "people", table(spark, sf_dir, "people_metadata"), "people")
+    return near.join(spellings.select("people", "n_rows"), near["value"] == spellings["people"]).select("value", "entry", "distance", "n_rows")
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_forms(table(spark, sf_dir, "sayings_raw"), "row_id", ["saying", "original"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parolith.llm.p04_copies import cheap_invariants, find_copies
 from parolith.llm.p05_main_body import judge_lines
+from parolith.llm.p06_entries import EntryTrie, common_ends, map_entries, near_entries
 from parolith.llm.p10_sentences import list_items, sentences
 from parolith.llm.textforms import fold, one_form, words
 
@@ -100,3 +101,22 @@ def test_forms_of_long_mixed_text_take_linear_time():
     began = time.perf_counter()
     one_form("оса " * 40_000 + "word")
     assert time.perf_counter() - began < 5
+
+
+# entries (6)
+
+
+def test_equally_near_entries():
+    trie = EntryTrie(["Iris", "Irish", "Malay", "Mali"])
+    assert trie.best("Irih") == ("Irish", 1) and dict(trie.ranked("Irih")) == {"Iris": 1, "Irish": 1}
+    assert trie.best("Malai") == ("Malay", 1) and dict(trie.ranked("Malai")) == {"Malay": 1, "Mali": 1}
+    assert [common_ends(a, b) for a, b in (("abc", "abc"), ("abc", "axc"), ("", "a"), ("aa", "aaa"), ("xyz", "abc"))] == [3, 2, 0, 2, 0]
+
+
+def test_near_entries_and_aliases(spark):
+    df = spark.createDataFrame([(1, "Malai"), (2, "the Old Folk nation"), (3, "Holland"), (4, None), (5, " "), (1, "Malai"), (7, "nothing at all")], "row_id long, v string")
+    listed = spark.createDataFrame([("Malay",), ("Mali",), ("Old Folk",), ("Dutch",), (None,), ("",)], "e string")
+    got = rows(near_entries(df, "row_id", "v", listed, "e", aliases={"Dutch": ["Holland"]}), "id", "entry", "distance")
+    assert got == [(1, "Malay", 1), (1, "Malay", 1), (1, "Mali", 1), (1, "Mali", 1), (2, "Old Folk", 0), (3, "Dutch", 0), (7, "", -1)]
+    assert rows(map_entries(df, "row_id", "v", listed, "e", nouns=()), "id", "entry") == [(1, "Malay"), (1, "Malay"), (2, ""), (3, ""), (7, "")]
+    assert near_entries(df.limit(0), "row_id", "v", listed, "e").count() == 0
