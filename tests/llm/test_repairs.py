@@ -1,10 +1,14 @@
 """Cases in which rows, votes or stretches were once lost or counted twice."""
 
+import os
 import time
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
+from parolith.llm.p01_language import PENALTY, choose_languages, fit_grams, language_of_label, mixture, posterior, sample_labelled, stretches, tokens_of
 from parolith.llm.p04_copies import cheap_invariants, find_copies
 from parolith.llm.p05_main_body import judge_lines
 from parolith.llm.p06_entries import EntryTrie, common_ends, map_entries, near_entries
@@ -12,6 +16,9 @@ from parolith.llm.p10_sentences import list_items, sentences
 from parolith.llm.textforms import fold, one_form, words
 
 
+DATA = "/root/testdata/sf0.01"
+
+
 def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
@@ -120,3 +127,73 @@ def test_near_entries_and_aliases(spark):
     assert got == [(1, "Malay", 1), (1, "Malay", 1), (1, "Mali", 1), (1, "Mali", 1), (2, "Old Folk", 0), (3, "Dutch", 0), (7, "", -1)]
     assert rows(map_entries(df, "row_id", "v", listed, "e", nouns=()), "id", "entry") == [(1, "Malay"), (1, "Malay"), (2, ""), (3, ""), (7, "")]
     assert near_entries(df.limit(0), "row_id", "v", listed, "e").count() == 0
+
+
+# languages (1)
+
+
+def scores(*rows):
+    return np.array(rows, dtype="f4"), np.zeros(len(rows), dtype="i8")
+
+
+def test_stretches_between_two_languages_neither_of_which_is_best():
+    a, b = (0.0, -5.0, -2.9), (-5.0, 0.0, -2.9)
+    score, owner = scores(*([a] * 2 + [b] * 2) * 3)
+    assert choose_languages(score, owner, 1)[0].sum() > 1
+    score, owner = scores(*([a] * 6))
+    assert choose_languages(score, owner, 1).tolist() == [[True, False, False]]
+
+
+def test_language_sets_equal_those_of_a_full_search():
+    """No bound may change an answer: growing the set by trying every language with EM gives the same one."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n, k = int(rng.integers(4, 40)), 5
+        score = -rng.gamma(1.0, 3.0, (n, k)).astype("f4")
+        score[np.arange(n), rng.integers(0, 3, n)] = 0
+        score -= score.max(axis=1, keepdims=True)
+        owner = np.zeros(n, dtype="i8")
+        chosen = {int(score.sum(axis=0).argmax())}
+        now = float(score.sum(axis=0, dtype="f8").max())
+        while True:
+            best = None
+            for j in set(range(k)) - chosen:
+                allowed = np.zeros((1, k))
+                allowed[0, [*chosen, j]] = 1
+                log = float(mixture(score.astype("f8"), owner, 1, allowed)[1][0])
+                if best is None or log > best[0]:
+                    best = (log, j)
+            if best is None or best[0] - now <= PENALTY:
+                break
+            now, chosen = best[0], chosen | {best[1]}
+        got = set(np.flatnonzero(choose_languages(score, owner, 1)[0]).tolist())
+        gate_only = len(got) == 1 and len(chosen) > 1
+        if gate_only:  # settled by the bound on paths: no change may pay
+            path = [now_ for now_ in stretches(score, np.ones(n, bool), np.arange(k))]
+            assert len(path) == 1
+        else:
+            assert got == chosen
+
+
+def test_sample_takes_its_share_of_labelled_rows(spark):
+    df = spark.range(20_000).select(F.col("id"), F.concat(F.lit("text "), F.col("id")).alias("t"), F.expr("if(id % 100 = 0, 'en', null)").alias("l"))
+    assert sample_labelled(df, "id", "t", "l", 150).count() == 150
+    assert sample_labelled(df, "id", "t", "l", 5_000).count() == 200
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_confidence_is_the_share_of_right_answers(spark):
+    got = sample_labelled(spark.read.parquet(f"{DATA}/sayings_raw.parquet"), "row_id", "saying", "saying_lang", 20_000).toPandas()
+    got = got.assign(label=got["label"].map(language_of_label)).dropna()
+    train, held = got.iloc[::2], got.iloc[1::2]
+    grams = fit_grams(train["text"].tolist(), train["label"].tolist())
+    whole = fit_grams(got["text"].tolist(), got["label"].tolist())
+    for n in (1, 2, 4):
+        right, sure = [], []
+        for t in held["text"]:
+            ws = tokens_of(t)
+            if len(ws) > 5:
+                p = posterior(grams.words(ws[:n]).sum(axis=0, dtype="f8"))
+                right.append(p.argmax() == whole.words(ws).sum(axis=0).argmax())
+                sure.append(p.max())
+        assert abs(np.mean(right) - np.mean(sure)) < 0.06, (n, np.mean(right), np.mean(sure))
