@@ -1,6 +1,7 @@
 """Cases in which rows, votes or stretches were once lost or counted twice."""
 
 import os
+import random
 import time
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parolith.llm.p01_language import PENALTY, choose_languages, fit_grams, language_of_label, mixture, posterior, sample_labelled, stretches, tokens_of
+from parolith.llm.p03_near import bucket_keys, expand_pairs, hash_all, link_sets, narrower, packed, word_sets
 from parolith.llm.p04_copies import cheap_invariants, find_copies
 from parolith.llm.p05_main_body import judge_lines
 from parolith.llm.p06_entries import EntryTrie, common_ends, map_entries, near_entries
@@ -197,3 +199,46 @@ def test_confidence_is_the_share_of_right_answers(spark):
                 right.append(p.argmax() == whole.words(ws).sum(axis=0).argmax())
                 sure.append(p.max())
         assert abs(np.mean(right) - np.mean(sure)) < 0.06, (n, np.mean(right), np.mean(sure))
+
+
+# near copies (3)
+
+
+@pytest.mark.parametrize("t", [(3, 4), (2, 5), (4, 5)])
+def test_narrower_buckets_lose_no_pair(t):
+    """Whatever buckets are too large, two alike sets still meet, over as many rounds as one likes."""
+    rng = random.Random(7)
+    for _ in range(120):
+        base = {rng.randrange(50) for _ in range(rng.choice((1, 2, 3, 5, 9, 20, 40)))}
+        other = {w if rng.random() < 0.85 else rng.randrange(50) for w in base}
+        if len(base & other) * t[1] < t[0] * len(base | other):
+            continue
+        frequent = {w: 100 + w for w in range(30)} if rng.random() < 0.7 else {}
+        sets = [sorted(x, key=lambda w: (frequent.get(w, 0), w)) for x in (base, other)]
+        posts = [{(k, i, packed(len(x), j - i, d, 0)) for k, i, j, d in bucket_keys(x, frequent, None, t)} for x in sets]
+        for turn in range(12):
+            # meets in a bucket as two rows of no side, or as a left and a right one
+            sides = [{(k, how & 3) for k, _, how in p} for p in posts]
+            assert any((k, {1: 2, 2: 1, 0: 0}[side]) in sides[1] for k, side in sides[0]), (turn, base, other)
+            large = {k for p in posts for k, _, _ in p if hash_all([k, turn]) % 3}  # most buckets are split in each round
+            posts = [
+                {(key, i, now) for k, i, how in p if k in large for key, now in narrower(k - (1 << 63), r, how, x[i:], t)} | {(k, i, how) for k, i, how in p if k not in large}
+                for r, (x, p) in enumerate(zip(sets, posts))
+            ]
+            if sum(map(len, posts)) > 2_000:
+                break
+
+
+def test_large_buckets_give_the_same_links(spark):
+    """A third of the texts share their frequent words; ids are of any sign and size."""
+    rng = random.Random(3)
+    hot = "the of and to in is it that for on".split()
+    texts = [" ".join([*rng.sample(hot, rng.randrange(6, 10)), *(f"w{rng.randrange(30)}" for _ in range(rng.randrange(3)))]) for _ in range(150)]
+    texts += [" ".join(f"v{rng.randrange(40)}" for _ in range(rng.randrange(1, 40))) for _ in range(150)] + ["w1 " * k + " ".join(hot * 4) + f" z{k}" for k in range(1, 30)]
+    ids = [(-1) ** k * ((1 << 62) + 7 * k) for k in range(len(texts))]
+    sets = {i: set(words(t)) for i, t in zip(ids, texts)}
+    want = sorted((min(a, b), max(a, b)) for k, a in enumerate(ids) for b in ids[:k] if len(sets[a] & sets[b]) * 4 >= 3 * len(sets[a] | sets[b]) and words(texts[ids.index(a)]) != words(texts[ids.index(b)]))
+    df = spark.createDataFrame([(k % 2, i, t) for k, (i, t) in enumerate(zip(ids, texts))], "field int, id long, text string").withColumn("field", F.lit(1))
+    sets_df = word_sets(df, set())
+    for most in (25, 2_000):
+        assert rows(expand_pairs(*link_sets(sets_df, (3, 4), most)), "id_a", "id_b") == want
