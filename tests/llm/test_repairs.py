@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parolith.llm.p01_language import PENALTY, choose_languages, fit_grams, language_of_label, mixture, posterior, sample_labelled, stretches, tokens_of
+from parolith.llm.p02_clusters import Mixture, _sums, fit_mixture
 from parolith.llm.p03_near import bucket_keys, expand_pairs, hash_all, link_sets, narrower, packed, word_sets
 from parolith.llm.p04_copies import cheap_invariants, find_copies
 from parolith.llm.p05_main_body import judge_lines
@@ -242,3 +243,36 @@ def test_large_buckets_give_the_same_links(spark):
     sets_df = word_sets(df, set())
     for most in (25, 2_000):
         assert rows(expand_pairs(*link_sets(sets_df, (3, 4), most)), "id_a", "id_b") == want
+
+
+# mixture (2)
+
+
+def test_density_from_products():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 3))
+    a = rng.normal(size=(2, 3, 3))
+    m = Mixture(np.ones(1), np.zeros(1), np.eye(1), np.ones(1), np.array([0.3, 0.7]), rng.normal(size=(2, 3)), a @ a.transpose(0, 2, 1) + np.eye(3))
+    for j in range(2):
+        z = x - m.centres[j]
+        direct = np.log(m.weights[j]) - 0.5 * (3 * np.log(2 * np.pi) + np.linalg.slogdet(m.covariances[j])[1] + np.einsum("ni,ij,nj->n", z, np.linalg.inv(m.covariances[j]), z))
+        assert np.allclose(m.log_joint(x)[:, j], direct)
+
+
+def test_sums_of_many_tasks(spark):
+    df = spark.range(1000).repartition(70).select(F.col("id").cast("string").alias("text"))
+    assert _sums(df, "text", lambda s: np.array([len(s), sum(map(int, s.to_pylist()))], dtype="f8")).tolist() == [1000, 499500]
+    assert _sums(df.limit(0), "text", lambda s: np.ones(1)).tolist() == []
+
+
+def test_the_criterion_chooses_the_number_of_components(spark):
+    rng = random.Random(11)
+    topics = [[f"{a}{b}word" for b in ("river", "boat", "fish", "water", "sail")] for a in "abcdef"]
+    data = [(k, " ".join(rng.choice(topics[k % 6]) for _ in range(8))) for k in range(1800)]
+    _, features, history = fit_mixture(spark.createDataFrame(data, "id long, text string"))
+    sizes = dict(history)
+    best = min(sizes, key=sizes.get)
+    assert 3 <= best <= 12 and 2 * best <= max(sizes) or best * 2 > max(sizes) >= 8
+    assert features.count() == 1800 and any(k & (k - 1) for k in sizes)
+    _, _, few = fit_mixture(spark.createDataFrame([(1, "one claim here"), (2, "another claim")], "id long, text string"))
+    assert max(k for k, _ in few) <= 2
