@@ -10,28 +10,25 @@ from pyspark.sql import functions as F
 from parolith.functions.patterns import S, W
 from parolith.functions.text import trim_all
 
-_ITS = r"(?:it'?s )?"
-_NOT = r"(?:never|don'?t|do not|cannot|can'?t|avoid)"
-_THERE = r"(?:there'?s|you (?:have|find))"
-#: (what a claim looks like, what it becomes); the first that fits is taken. \1 and \2 are the captured parts. Fixed values.
+#: Fixed values: (what a claim looks like, what it becomes), in this order; the first that fits is taken. \1 and \2 are the captured parts.
 REWRITES = (
-    (rf"{_ITS}better (?:to )?(.+?) than (?:to )?(.+?)", r"Better \1 than \2."),
+    (r"(?:it'?s )?better (?:to )?(.+?) than (?:to )?(.+?)", r"Better \1 than \2."),
     (r"(.+?) is better than (.+?)", r"Better \1 than \2."),
     (r"prefer (.+?) (?:over|to) (.+?)", r"Better \1 than \2."),
-    (rf"(?:you should )?{_NOT} (.+?)", r"Avoid \1."),
-    (rf"{_ITS}(?:bad|wrong|dangerous) to (.+?)", r"Avoid \1."),
+    (r"(?:you should )?(?:never|don'?t|do not|cannot|can'?t|avoid) (.+?)", r"Avoid \1."),
+    (r"(?:it'?s )?(?:bad|wrong|dangerous) to (.+?)", r"Avoid \1."),
     (r"(?:when|if) (.+?), (?:then )?(.+?)", r"If \1, then \2."),
-    (rf"where {_THERE} (.+?), {_THERE} (.+?)", r"If there is \1, there is \2."),
-    (r"(?:the )?early .+? (?:gets?|catches?) (?:the )?(.+?)", r"Early action brings \1."),
+    (r"where (?:there'?s|you (?:have|find)) (.+?), (?:there'?s|you (?:have|find)) (.+?)", r"If there is \1, there is \2."),
+    (r"(?:the )?early (.+?) (?:gets?|catches?) (?:the )?(.+?)", r"Early action brings \2."),
     (r"(?:practice|repetition) makes? (?:perfect|improvement)", "Practice improves skill."),
     (r"time (?:is|equals?) (?:money|wealth|value)", "Time has value."),
-    (r"(?:many|multiple|several) hands (?:make|create) (?:light|easy) work", "Cooperation reduces effort."),
+    (r"(?:many|multiple|several) hands (?:make|create) (?:light work|easy work)", "Cooperation reduces effort."),
     (r"(?:together|unity) (?:we|is) (?:stand|strength)(?:, (?:divided|apart) (?:we )?fall)?", "Unity creates strength."),
-    (r"too (?:many|much) (.+?) (?:spoil|ruin)s? (?:the )?(.+?)", r"Excess of \1 harms \2."),
-    (r"(?:all|only) work and no play makes? .+? (?:a )?(?:dull|boring) (?:boy|person)", "Balance work and rest."),
+    (r"too (?:many|much) (.+?) (?:spoils?|ruins?) (?:the )?(.+?)", r"Excess of \1 harms \2."),
+    (r"(?:all work|only work) and no play makes? (.+?) (?:a )?(?:dull|boring) (?:boy|person)", "Balance work and rest."),
     (r"(?:haste|rushing|hurrying) (?:makes|creates|causes) (?:waste|mistakes|errors)", "Haste causes problems."),
     (r"(?:slow and )?steady wins (?:the )?race", "Consistency beats speed."),
-    (r"(?:good things|patience) (?:comes?|rewards) (?:to )?(?:those|people) who wait", "Patience brings rewards."),
+    (r"(?:good things|patience) (?:comes?|rewards) (?:to )?(?:those who|people who) wait", "Patience brings rewards."),
 )
 #: Introductions and endings that add nothing.
 INTRODUCTION = rf"(?i)^(?:old saying:|proverb:|they say:?|it is said:?)[{S}]*"
@@ -39,11 +36,21 @@ ATTRIBUTION = rf"(?i)[{S}]*- [{W}]+ (?:proverb|saying)\.?$"
 #: Words with one meaning for the comparison; the first of each class stands for all, articles vanish.
 ARTICLES = ("a", "an", "the")
 WORD_CLASSES = {
-    "be": "is are was were be being", "will": "will shall would should could can may might", "do": "do does did done", "have": "have has had",
-    "person": "person people man men woman women individual one", "home": "home house dwelling", "wealth": "money wealth riches fortune gold",
-    "friend": "friend buddy companion ally", "enemy": "enemy foe opponent rival", "work": "work labor effort toil task", "time": "time moment hour day",
-    "speak": "speak talk say tell utter", "good": "good fine excellent great wonderful", "bad": "bad terrible awful horrible poor",
-}
+    "be": ("is", "are", "was", "were", "be", "being"),
+    "will": ("will", "shall", "would", "should", "could", "can", "may", "might"),
+    "do": ("do", "does", "did", "done"),
+    "have": ("have", "has", "had"),
+    "person": ("person", "people", "man", "men", "woman", "women", "individual", "one"),
+    "home": ("home", "house", "dwelling"),
+    "wealth": ("money", "wealth", "riches", "fortune", "gold"),
+    "friend": ("friend", "buddy", "companion", "ally"),
+    "enemy": ("enemy", "foe", "opponent", "rival"),
+    "work": ("work", "labor", "effort", "toil", "task"),
+    "time": ("time", "moment", "hour", "day"),
+    "speak": ("speak", "talk", "say", "tell", "utter"),
+    "good": ("good", "fine", "excellent", "great", "wonderful"),
+    "bad": ("bad", "terrible", "awful", "horrible", "poor"),
+}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,7 +103,7 @@ def reduce_wording(c: Column) -> Column:
     def swap(t: Column) -> Column:
         made = F.when(t.isin(*ARTICLES), F.lit(""))
         for word, members in WORD_CLASSES.items():
-            made = made.when(t.isin(*members.split()), F.lit(word))
+            made = made.when(t.isin(*members), F.lit(word))
         return made.otherwise(t)
 
     joined = F.array_join(F.transform(tokens, swap), "")
@@ -104,7 +111,7 @@ def reduce_wording(c: Column) -> Column:
 
 
 def reduced_sql(column: str) -> str:
-    whens = " ".join(f"WHEN x IN ({', '.join(repr(m) for m in ms.split())}) THEN '{w}'" for w, ms in WORD_CLASSES.items())
+    whens = " ".join(f"WHEN x IN ({', '.join(repr(m) for m in ms)}) THEN '{w}'" for w, ms in WORD_CLASSES.items())
     articles = ", ".join(repr(a) for a in ARTICLES)
     tokens = f"regexp_extract_all(lower(regexp_replace(coalesce({column}, ''), '^[{S}]+|[{S}]+$', '', 'g')), '[{W}]+|[^{W}]+')"
     joined = f"coalesce(array_to_string(list_transform({tokens}, lambda x: CASE WHEN x IN ({articles}) THEN '' {whens} ELSE x END), ''), '')"

@@ -11,14 +11,22 @@ from parolith.functions.patterns import W, S, whole_words
 
 #: Words that make a text look like a saying to the cleaner.
 CLEANER_CUES = (
-    "is are was were be have do does did shall will can may should must let make take give go come keep put never don'?t avoid if when where who what "
-    "speak say think know trust bite bark save waste pay buy sell wait hasten repent many too"
-).split()
+    "is", "are", "was", "were", "be", "have", "do", "does", "did", "shall", "will", "can", "may", "should", "must", "let", "make", "take", "give",
+    "go", "come", "keep", "put", "never", "don'?t", "avoid", "if", "when", "where", "who", "what", "speak", "say", "think", "know", "trust", "bite",
+    "bark", "save", "waste", "pay", "buy", "sell", "wait", "hasten", "repent", "many", "too",
+)
 #: Words that make a text look like a saying to the row filter, anywhere and as the first word.
-FILTER_CUES = "if then never always should must avoid prefer time friend truth honesty fortune blood work early slow patience many too".split()
-FILTER_OPENERS = "if where better many too time practice honesty fortune blood early slow truth silence friend work".split()
+FILTER_CUES = (
+    "if", "then", "never", "always", "should", "must", "avoid", "prefer", "time", "friend", "truth", "honesty", "fortune", "blood", "work", "early",
+    "slow", "patience", "many", "too",
+)
+FILTER_OPENERS = (
+    "if", "where", "better", "many", "too", "time", "practice", "honesty", "fortune", "blood", "early", "slow", "truth", "silence", "friend", "work",
+)
 #: Words that raise a row's quality score.
-SCORE_CUES = "if then never always should must avoid prefer time practice friend truth honesty fortune blood work".split()
+SCORE_CUES = (
+    "if", "then", "never", "always", "should", "must", "avoid", "prefer", "time", "practice", "friend", "truth", "honesty", "fortune", "blood", "work",
+)
 #: Phrases of page furniture, for the cleaner, for the extractors, and for the row filter.
 FURNITURE = ("ISBN", "ISSN", "Retrieved from", "Privacy Policy", "Terms of Use", "Creative Commons", "What links here")
 NAVIGATION = ("see also", "external links", "references", "navigation", "category")

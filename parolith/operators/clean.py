@@ -12,6 +12,10 @@ from parolith.functions import text as X
 from parolith.schemas import SAYINGS, conform
 
 
+#: The peoples offered first.
+MAJOR_PEOPLES = ("English", "Chinese", "Spanish", "Arabic", "Hindi", "French", "Russian", "Japanese")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each key by the order column: an aggregate with partial sums, so a key with very many rows sends few."""
     rest = [c for c in df.columns if c not in keys]
@@ -61,12 +65,15 @@ def select_sources(sources: DataFrame, people: Sequence[str] | None = None, type
     return sources
 
 
-def default_people(sources: DataFrame, major: Sequence[str]) -> DataFrame:
-    """(people, place): half of the peoples, the major ones first, then by name."""
-    named = sources.select("people").where("people is not null").distinct()
-    half = F.floor(F.count("*").over(Window.partitionBy()) / 2)  # a row per people: a catalogue's list, not data
-    ranked = named.withColumn("half", half).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.when(F.col("people").isin(*major), 0).otherwise(1), "people")))
-    return ranked.where(F.col("place") <= F.col("half")).select("people", F.col("place").cast("int").alias("place"))
+def default_people(sources: DataFrame, most: int = 5, major: Sequence[str] = MAJOR_PEOPLES) -> DataFrame:
+    """(people, place): of the peoples by name, major ones up to half of the number wanted, then others until it is reached."""
+    named = sources.select("people").where("people is not null").distinct().withColumn("is_major", F.col("people").isin(*major))
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("is_major").orderBy("people")))  # a row per people: a catalogue's list, not data
+    first = ranked.where(F.col("is_major") & (F.col("r") <= most // 2))
+    room = F.lit(most) - F.count("*")
+    rest = ranked.where("not is_major").join(F.broadcast(first.agg(room.alias("room"))), F.col("r") <= F.col("room"))
+    both = first.select("people", F.lit(0).alias("part"), "r").union(rest.select("people", F.lit(1), "r"))
+    return both.select("people", F.row_number().over(Window.partitionBy().orderBy("part", "r")).cast("int").alias("place"))
 
 
 def as_saying_rows(items: DataFrame, kind: Column, accessed: str, item: str = "item") -> DataFrame:

@@ -9,6 +9,7 @@ from parolith.functions import text as X
 from parolith.functions.claims import canonicalise, reduce_wording
 from parolith.functions.labels import family_of
 from parolith.operators.clean import keep_first
+from parolith.session import cut
 
 #: Openers that raise a claim's score wherever they stand.
 CLAIM_OPENERS = ("if ", "when ", "better ", "avoid ", "never ")
@@ -37,10 +38,11 @@ def claim_score(claim: Column, coverage: Column, support: Column, families: Colu
 
 def aggregate_clusters(assigned: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """One row per cluster of (cluster, people, claim): modal claim (ties: least), coverage, support, cultures, families, mean words, score."""
-    # counts per (cluster, claim) and per (cluster, people) first: both shrink map-side, and hot clusters arrive aggregated
-    per_claim = assigned.groupBy(cluster, "claim").agg(F.count("*").alias("n"), (X.word_count(F.col("claim")) * F.count("*")).alias("words"))
+    # claims are computed once, for counts that shrink map-side; hot clusters arrive aggregated
+    base = cut(assigned.groupBy(cluster, "claim", "people").agg(F.count("*").alias("n")))
+    per_claim = base.groupBy(cluster, "claim").agg(F.sum("n").alias("n"), (X.word_count(F.col("claim")) * F.sum("n")).alias("words"))
     claims = per_claim.groupBy(cluster).agg(F.min_by("claim", F.struct(-F.col("n"), "claim")).alias("claim"), F.sum("n").alias("support"), (F.sum("words") / F.sum("n")).alias("mean_words"))
-    peoples = assigned.where("people is not null").select(cluster, "people").distinct().withColumn("family", family_of(F.col("people")))
+    peoples = base.where("people is not null").select(cluster, "people").distinct().withColumn("family", family_of(F.col("people")))
     cultures = peoples.groupBy(cluster).agg(F.count("*").cast("int").alias("coverage"), F.array_sort(F.collect_set("people")).alias("cultures"), F.array_sort(F.collect_set("family")).alias("language_families"))
     joined = claims.join(cultures, cluster, "left").na.fill(0, ["coverage"])
     made = joined.withColumn("family_diversity", F.greatest(F.size(F.coalesce("language_families", F.array())), F.lit(0)))
@@ -61,6 +63,17 @@ def cluster_examples(assigned: DataFrame, cluster: str = "cluster_id", order: st
     return placed.where((F.col("place") <= most) | (F.col("of_family") <= 2)).select(cluster, "people", "place", "saying")
 
 
+def first_examples(examples: DataFrame, most: int, cluster: str = "cluster_id") -> DataFrame:
+    """The first so many examples of each cluster in their order: six are shown with a cluster, four with one to be rated."""
+    firsts = F.slice(F.sort_array(F.collect_list(F.struct("place", "people", "saying"))), 1, most)  # a row per representative people
+    return examples.groupBy(cluster).agg(firsts.alias("e")).select(cluster, F.inline("e"))
+
+
+def culture_count(rows: DataFrame) -> DataFrame:
+    """One row: the rows and the distinct peoples among them."""
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("people").alias("n_peoples"))
+
+
 def examples_map(examples: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct("place", "people", "saying")))
     return examples.groupBy(cluster).agg(F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["people"], e["saying"]))).alias("examples"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -77,30 +79,60 @@ def hash_order(*parts: Column) -> Column:
     return F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]))
 
 
+def hash_head(rows: DataFrame, keys: Sequence[str], wanted: DataFrame, h: str, tie: str) -> DataFrame:
+    """Of each key the first ``k`` rows in the order of a hexadecimal hash (ties: the tie column); wanted has the keys and k.
+
+    The hash's first three digits part a key's rows into 4,096 ranges that are counted map-side. Ranges wholly inside are taken as
+    they are, and only the rows of the one range that k falls into are ranked, so no task meets all rows of a key.
+    """
+    rows = rows.withColumn("_range", F.substring(h, 1, 3))
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")))  # 4,096 rows a key
+    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in keys]
+    named = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in keys], F.col("k").cast("long").alias("_k"))
+    spans = upto.join(named, reduce(lambda x, y: x & y, same))
+    spans = spans.where(F.col("_upto") - F.col("_n") < F.col("_k")).select(*[F.col(c).alias(f"_s_{c}") for c in keys], F.col("_range").alias("_s_range"), (F.col("_upto") <= F.col("_k")).alias("_whole"), (F.col("_k") - (F.col("_upto") - F.col("_n"))).alias("_left"))
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys], F.col("_range") == F.col("_s_range"))
+    inside = rows.join(spans, match).drop(*[f"_s_{c}" for c in keys], "_s_range")
+    edge = inside.where("not _whole").withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(h, tie))).where("_place <= _left")
+    return inside.where("_whole").drop("_whole", "_left", "_range").unionByName(edge.drop("_whole", "_left", "_range", "_place"))
+
+
 def stability(claims: DataFrame, id_col: str, claim: str, ratios=(0.8, 0.9, 0.95), draws: int = 3, top: int = 5, seed: int = 0) -> DataFrame:
     """(ratio, draw, kept): the share of the most frequent claims that stay most frequent in a seeded subsample.
 
-    A subsample holds the first int(n ratio) rows in the order of a hash; ranks come from the rows' hash bounds, found by an exact percentile.
+    A subsample holds the first int(n ratio) rows in the order of a hash, found by ranges (``hash_head``). Fewer distinct claims than ``top`` are all top.
     """
     spark = claims.sparkSession
     rows = claims.select(F.col(id_col).alias("id"), F.col(claim).alias("claim"))
-    trials = F.broadcast(spark.createDataFrame([(float(r), d) for r in ratios for d in range(draws)], "ratio double, draw int"))
     total = rows.count()
-    each = rows.join(trials, F.lit(True)).withColumn("h", hash_order(F.lit(seed), F.col("draw"), F.col("ratio"), F.col("id")))
-    place = F.row_number().over(Window.partitionBy("ratio", "draw").orderBy("h", "id"))
-    drawn = each.withColumn("place", place).where(F.col("place") <= F.floor(F.lit(total) * F.col("ratio") + 1e-9))
+    trials = spark.createDataFrame([(float(r), d, int(math.floor(total * r + 1e-9))) for r in ratios for d in range(draws)], "ratio double, draw int, k long")
+    each = rows.join(F.broadcast(trials.drop("k")), F.lit(True)).withColumn("h", hash_order(F.lit(seed), F.col("draw"), F.col("ratio"), F.col("id")))
+    drawn = hash_head(each, ["ratio", "draw"], trials, "h", "id")
 
-    def best(df: DataFrame, keys: list[str]) -> DataFrame:
+    def most(df: DataFrame, keys: list[str]) -> DataFrame:
         counted = df.groupBy(*keys, "claim").agg(F.count("*").alias("n"))
-        ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "claim")))
-        return ranked.where(F.col("r") <= top)
+        first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "claim"))), 1, top)
+        # the best of each slice, then the best of all: no task sees all claims
+        some = counted.groupBy(*keys, F.pmod(F.xxhash64("claim"), F.lit(1024)).alias("slice")).agg(first.alias("c")).select(*keys, F.explode("c").alias("c"))
+        return some.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("c")), 1, top).alias("c")).select(*keys, F.explode("c").alias("c")).select(*keys, "c.claim")
 
-    whole = best(rows, []).select("claim")
+    whole = most(rows, [])
     k = whole.count()
-    kept = best(drawn, ["ratio", "draw"]).join(F.broadcast(whole), "claim", "left_semi").groupBy("ratio", "draw").agg(F.count("*").alias("c"))
+    kept = most(drawn, ["ratio", "draw"]).join(F.broadcast(whole), "claim", "left_semi").groupBy("ratio", "draw").agg(F.count("*").alias("c"))  # top rows
     return trials.join(kept, ["ratio", "draw"], "left").select("ratio", "draw", (F.coalesce("c", F.lit(0)) / F.lit(max(k, 1))).alias("kept"))
 
 
+def mean_stability(kept: DataFrame) -> DataFrame:
+    """One row: the mean over the ratios of the mean over the draws."""
+    return kept.groupBy("ratio").agg(F.avg("kept").alias("kept")).agg(F.avg("kept").alias("stability"))
+
+
+def overall_compactness(distances: DataFrame) -> DataFrame:
+    """One row: the mean of the clusters' mean distances; null where no cluster has two members."""
+    return distances.agg(F.avg("distance").alias("compactness"), F.count("*").alias("n_clusters"))
+
+
 def theme_matrix(clusters: DataFrame, cultures: str = "cultures") -> DataFrame:
     """(people, one count per theme): in how many clusters of each theme a people takes part."""
     names = [n for n, _ in DIAGNOSTIC_THEMES] + ["Other"]
@@ -206,5 +238,30 @@ def recommendations(metrics: DataFrame, significant: Column) -> DataFrame:
     return metrics.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def main_issues(found: DataFrame) -> DataFrame:
+    """The issues of high priority among recommendations."""
+    return found.where(F.col("priority") == "High").select("issue")
+
+
+def diagnose(assigned: DataFrame, claim: str, id_col: str, vectors: DataFrame, correlations: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(report, recommendations) of one clustering: assigned has id_col, cluster_id and claims, vectors (id, term, w) are its unit vectors.
+
+    report: one row with status, silhouette, compactness, stability, the sizes, trust_score, trust_band and data_quality. With fewer
+    than ``least`` claims the status is "insufficient_data", the figures are null and the one recommendation is to add data.
+    """
+    spark = assigned.sparkSession
+    sizes = cluster_sizes(assigned)
+    if not enough_data(assigned, least):
+        empty = sizes.select(F.lit("insufficient_data").alias("status"), *[F.lit(None).cast("double").alias(c) for c in ("silhouette", "compactness", "stability")], "*")
+        none = empty.withColumns({"trust_score": F.lit(None).cast("double"), "trust_band": F.lit(None).cast("string"), "data_quality": F.lit("Limited")})
+        return none, spark.createDataFrame([("too_few_claims", "Too few claims", "Add more data", "High")], "code string, issue string, action string, priority string")
+    placed = cut(vectors.join(assigned.select(F.col(id_col).alias("id"), "cluster_id"), "id"))
+    row = sizes.crossJoin(term_silhouette(placed)).crossJoin(overall_compactness(compactness(placed)).select("compactness"))  # one row each
+    row = row.crossJoin(mean_stability(stability(assigned, id_col, claim)))
+    row = cut(row.crossJoin(correlations.agg(F.count_if("significant").alias("n_significant"))))
+    report = trust_report(row).select(F.lit("ok").alias("status"), "silhouette", "compactness", "stability", *sizes.columns, "trust_score", "trust_band", "data_quality")
+    return report, recommendations(row, F.col("n_significant"))
+
+
 def enough_data(claims: DataFrame, least: int = 3) -> bool:
     return len(claims.limit(least).collect()) >= least

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parolith.functions.labels import REPORT_THEMES, theme_of
+from parolith.session import cut
 
 #: Report column -> metadata column.
 PROFILE = {
@@ -36,6 +37,7 @@ def profile_counts(clusters: DataFrame, metadata: DataFrame, cluster: str = "clu
 
 def enrich_clusters(clusters: DataFrame, metadata: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """The clusters with theme and 14 profile texts such as ``Region (1/3; 33%)``; "-" without a match. Percentages are of coverage."""
+    clusters = cut(clusters)
     counts = profile_counts(clusters, metadata, cluster).join(clusters.select(cluster, "coverage"), cluster)
     percent = F.bround(100.0 * F.col("n") / F.greatest(F.col("coverage"), F.lit(1)), 0).cast("int")
     with_share = F.format_string("%s (%d/%d; %d%%)", "label", "n", "coverage", percent)
@@ -46,9 +48,14 @@ def enrich_clusters(clusters: DataFrame, metadata: DataFrame, cluster: str = "cl
     return full.withColumn("theme", theme_of(F.col("claim")))
 
 
+def widest(clusters: DataFrame, cluster: str = "cluster_id", top: int = 30) -> DataFrame:
+    """The clusters a report looks at; taken before they are joined with metadata, for the report needs no others."""
+    return clusters.orderBy(F.desc("coverage"), F.desc("support"), cluster).limit(top)
+
+
 def report_rows(enriched: DataFrame, cluster: str = "cluster_id", top: int = 30, per_theme: int = 4) -> DataFrame:
     """(theme_no, place, cluster, ...): of the 30 widest clusters, the first four of each theme."""
-    best = enriched.orderBy(F.desc("coverage"), F.desc("support"), cluster).limit(top)
+    best = widest(enriched, cluster, top)
     names = [n for n, _ in REPORT_THEMES] + ["Other"]
     number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("theme")).cast("int")
     placed = best.withColumn("theme_no", number).withColumn("place", F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("coverage"), F.desc("support"), cluster)))

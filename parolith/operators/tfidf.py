@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parolith.functions.patterns import S, W
@@ -70,16 +70,20 @@ def grams_of(text: Column, g: Grams) -> Column:
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, g: Grams) -> DataFrame:
-    """(id, term, w): counts times ln((1+n)/(1+df))+1, unit length. Terms beyond the cap go by total count, ties by term."""
+    """(id, term, w): counts times ln((1+n)/(1+df))+1, unit length. Terms beyond the cap go by total count, ties by term.
+
+    Texts are parted by id before they are cut up, so counts and norms of a text need no shuffle of n-grams; what travels are the
+    texts and the partial counts of terms.
+    """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = texts.count()
-    counts = texts.select("id", F.explode(grams_of(F.col("text"), g)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counts = texts.repartition("id").select("id", F.explode(grams_of(F.col("text"), g)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") <= g.max_share * n)
     if g.max_terms is not None:
-        terms = F.broadcast(terms.orderBy(F.desc("total"), "term").limit(g.max_terms))  # the cap bounds it
+        terms = F.broadcast(cut(terms.orderBy(F.desc("total"), "term").limit(g.max_terms)))  # the cap bounds it
     weighted = counts.join(terms, "term").select("id", "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # the terms of one text
+    return weighted.select("id", "term", (F.col("w") / norm).alias("w"))
 
 
 def mean_similarity(vectors: DataFrame) -> Column | float | None:

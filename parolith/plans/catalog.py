@@ -246,7 +246,8 @@ SELECT theme, (row_number() OVER (PARTITION BY theme ORDER BY coverage DESC, sup
 
 @query(REPORT)
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = interpret.report_rows(interpret.enrich_clusters(*_claim_profiles(spark, sf_dir), "claim"), "claim")
+    made, meta = _claim_profiles(spark, sf_dir)
+    rows = interpret.report_rows(interpret.enrich_clusters(interpret.widest(made, "claim"), meta, "claim"), "claim")
     return rows.select("theme", "place", "claim", "coverage", "support", "wisdom_score", *interpret.PROFILE)
 
 
@@ -407,18 +408,21 @@ def source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.lit("people").alias("kind"), F.col("people").alias("name")).agg(F.count("*").alias("n")).union(s.groupBy(F.lit("type"), F.coalesce("type", F.lit("wikiquote"))).agg(F.count("*")))
 
 
-MAJOR = ("English", "Spanish", "French", "German", "Italian", "Portuguese", "Russian", "Chinese")
-_MAJORS = ", ".join(repr(m) for m in MAJOR)
+_MAJORS = ", ".join(repr(m) for m in clean.MAJOR_PEOPLES)
 
 
 @query(f"SELECT source_type AS type, people, url FROM sources WHERE people IN ({_MAJORS}) AND coalesce(source_type, 'wikiquote') IN ('wikiquote', 'gutenberg_html')")
 def source_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.select_sources(_sources(spark, sf_dir), MAJOR, ("wikiquote", "gutenberg_html")).select("type", "people", "url")
+    return clean.select_sources(_sources(spark, sf_dir), clean.MAJOR_PEOPLES, ("wikiquote", "gutenberg_html")).select("type", "people", "url")
 
 
-@query(f"WITH p AS (SELECT DISTINCT people FROM sources WHERE people IS NOT NULL), r AS (SELECT people, row_number() OVER (ORDER BY (people NOT IN ({_MAJORS}))::INT, people) AS place, count(*) OVER () AS n FROM p) SELECT people, place::INT AS place FROM r WHERE place <= n // 2")
+@query(
+    f"""WITH p AS (SELECT DISTINCT people, people IN ({_MAJORS}) AS major FROM sources WHERE people IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY major ORDER BY people) AS r FROM p),
+first AS (SELECT * FROM r WHERE major AND r <= 5 // 2), rest AS (SELECT * FROM r WHERE NOT major AND r <= 5 - (SELECT count(*) FROM first))
+SELECT people, (row_number() OVER (ORDER BY NOT major, r))::INT AS place FROM (SELECT * FROM first UNION ALL SELECT * FROM rest)"""
+)
 def source_default_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.default_people(_sources(spark, sf_dir), MAJOR)
+    return clean.default_people(_sources(spark, sf_dir))
 
 
 @query("SELECT s.source_type AS type, s.people, s.url, count(r.row_id) AS n_rows FROM sources s LEFT JOIN sayings_raw r ON r.source_url = s.url GROUP BY ALL")

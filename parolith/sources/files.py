@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as one text, from any file system."""
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, on any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = SAYINGS) -> DataFrame:
     """A CSV with a header, by column name; absent columns are filled, others dropped."""
     return conform(spark.read.options(**_CSV).csv(path), schema)
@@ -46,7 +64,7 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """A YAML list of records with type, people and url; without a type it is a wikiquote page."""
     import yaml
 
-    records = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or []
+    records = yaml.safe_load(read_text(spark, path)) or []
     rows = [(r.get("type") or "wikiquote", r.get("people"), r.get("url")) for r in records if isinstance(r, dict)]
     return spark.createDataFrame(rows, SOURCES)
 
@@ -76,7 +94,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    flat(df).write.mode(mode).options(header=True, escape='"').csv(path)
+    flat(df).write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_per_source(df: DataFrame, path: str) -> None:
@@ -93,19 +111,22 @@ def write_json_array(df: DataFrame, path: str, most: int = 1_000_000) -> None:
     rows = df.limit(most + 1).toJSON().collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows; write them as Parquet")
-    Path(path).write_text(json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2), encoding="utf-8")
+    write_text(df.sparkSession, json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2), path)
 
 
 def write_report(text: str, enriched: DataFrame, path: str) -> tuple[str, str]:
     """The report, and the enriched clusters beside it."""
-    Path(path).write_text(text, encoding="utf-8")
+    write_text(enriched.sparkSession, text, path)
     beside = re.sub(r"\.txt$", "", path) + "_enriched.json"
     write_json_array(enriched, beside)
     return path, beside
 
 
-def write_ratings(ratings: DataFrame, summary: DataFrame, path: str) -> None:
-    """Summary and details of the ratings in one JSON file."""
-    details = [json.loads(r) for r in ratings.toJSON().collect()]  # human ratings of a handful of clusters
+def write_ratings(ratings: DataFrame, summary: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """Summary and details of the ratings in one JSON file, for a bounded number of human ratings."""
+    rows = ratings.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} ratings; write them as Parquet")
+    details = [json.loads(r) for r in rows]
     first = summary.toJSON().first()
-    Path(path).write_text(json.dumps({"summary": json.loads(first) if first else {}, "ratings": details}, ensure_ascii=False, indent=2), encoding="utf-8")
+    write_text(ratings.sparkSession, json.dumps({"summary": json.loads(first) if first else {}, "ratings": details}, ensure_ascii=False, indent=2), path)

@@ -181,8 +181,7 @@ def build_from_pages(sources: DataFrame, pages: DataFrame, accessed: str) -> tup
 
 
 def line_items(df: DataFrame, id_col: str, text_col: str, rule: Callable[[Column], Column], most: int = MOST_PER_PAGE) -> DataFrame:
-    """(id, place, item): the lines of plain texts that a rule keeps, at most so many of each text. JVM only."""
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("place", "raw")).withColumn("item", F.regexp_replace("raw", rf"^[{S}]+|[{S}]+$", ""))
-    kept = lines.where((F.col("item") != "") & rule(F.col("item")))
-    ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("place")))
-    return ranked.where(F.col("r") <= most).select("id", "place", "item")
+    """(id, place, item): the lines of plain texts that a rule keeps, at most so many of each text. Done inside the row, in the JVM."""
+    lines = F.transform(F.split(text_col, "\n"), lambda raw, i: F.struct(i.alias("place"), F.regexp_replace(raw, rf"^[{S}]+|[{S}]+$", "").alias("item")))
+    kept = F.filter(lines, lambda x: (x["item"] != "") & rule(x["item"]))
+    return df.select(F.col(id_col).alias("id"), F.inline(F.slice(kept, 1, most)))

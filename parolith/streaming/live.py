@@ -10,7 +10,7 @@ from parolith.functions import text as X
 from parolith.functions.claims import canonicalise
 from parolith.operators.clean import with_basis
 from parolith.operators.validation import latest_ratings
-from parolith.sources.files import exists
+from parolith.sources.files import delete, exists
 
 
 def stream_table(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
@@ -30,12 +30,16 @@ def counts_by_window(sayings: DataFrame, time: str, late: str = "30 days", windo
 
 
 def upsert_ratings(stream: DataFrame, folder: str, checkpoint: str, key: str, time: str, tie: str):
-    """Keeps the newest rating of each key in versions below the folder; a batch that runs again writes the same version again."""
+    """Keeps the newest rating of each key in versions below the folder, the last two; a batch that runs again writes the same version again."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
         before = f"{folder}/v={number - 1}"
-        whole = batch if number == 0 or not exists(spark, before) else batch.unionByName(spark.read.parquet(before))
+        if number and not exists(spark, before):
+            raise FileNotFoundError(f"{before} is missing: the state can't be carried on")
+        whole = batch.unionByName(spark.read.parquet(before)) if number else batch
         latest_ratings(whole, key, time, tie).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        if number > 1:
+            delete(spark, f"{folder}/v={number - 2}")  # this batch may run again and needs the version before it, no older one
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
