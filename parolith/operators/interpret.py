@@ -88,13 +88,3 @@ def report_text(rows: DataFrame, title: str = "Claims across cultures") -> str:
 
 def first_lines(text: str, most: int = 400) -> str:
     return "\n".join(text.split("\n")[:most])
-
-
-def narrative(summary: str, model=None) -> str:
-    """A model's narrative of a report; without a model, or if it fails, a note in its place."""
-    if model is None:
-        return "No narrative: no model was given."
-    try:
-        return str(model(first_lines(summary)))
-    except Exception as e:  # noqa: BLE001
-        return f"No narrative: the model failed ({type(e).__name__})."

@@ -43,4 +43,5 @@ def rating_span(ratings: DataFrame, time: str = "rated_at") -> DataFrame:
 
 def export_ratings(ratings: DataFrame) -> DataFrame:
     """Each rating as one JSON text."""
-    return ratings.select(F.to_json(F.struct(*[F.col(c) for c in sorted(ratings.columns)])).alias("json"))
+    form = {k: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for k in ("timestampFormat", "timestampNTZFormat")}  # to the microsecond
+    return ratings.select(F.to_json(F.struct(*[F.col(c) for c in sorted(ratings.columns)]), form).alias("json"))

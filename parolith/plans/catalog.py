@@ -311,12 +311,6 @@ def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, tfidf.mean_similarity(v))], "n_rows long, s double").select("n_rows", F.round("s", 6).alias("mean_similarity"))
 
 
-@query()
-def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value, note = diagnostics.silhouette(table(spark, sf_dir, "embeddings"), "embedding", "label")
-    return spark.createDataFrame([(value, note)], "silhouette double, note string")
-
-
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trust inputs per family: the share of wide claims stands in for the three quality figures, which have queries of their own."""
     rows = claim_rows(spark, sf_dir).withColumn("family", L.family_of(F.col("people")))
@@ -385,7 +379,13 @@ def rating_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.rating_span(table(spark, sf_dir, "ratings"))
 
 
-@query()
+_FIELDS = ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || {t} END"
+    for c, t in (("coherence", "to_json(coherence)::VARCHAR"), ("ord", "ord"), ("quality", "to_json(quality)::VARCHAR"), ("rated_at", "strftime(rated_at, '\"%Y-%m-%dT%H:%M:%S.%f\"')"), ("rating_id", "rating_id"), ("remark", "to_json(remark)::VARCHAR"))
+)
+
+
+@query(f"SELECT '{{' || array_to_string([{_FIELDS}], ',') || '}}' AS json FROM ratings")
 def rating_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.export_ratings(table(spark, sf_dir, "ratings"))
 
@@ -451,13 +451,6 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.line_items(table(spark, sf_dir, "page_captures"), "page_id", "saying", pages.archive_rule)
 
 
-@query()
-def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive extractor on pages whose lines are written as list items."""
-    p = table(spark, sf_dir, "page_captures").select(F.col("source_url").alias("url"), "people", F.concat(F.lit("<ul><li>"), F.replace("saying", F.lit("\n"), F.lit("</li><li>")), F.lit("</li></ul>")).alias("html"))
-    return pages.EXTRACTORS["internet_archive_html"][0](p).select("url", "people", "place", "item")
-
-
 # vectors and clusters
 
 

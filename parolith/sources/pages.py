@@ -6,8 +6,10 @@ the content part; extractors are filters on its items. What needs no markup (wor
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +102,33 @@ class PageItems(HTMLParser):
             self._link.append(text)
 
 
+def fetch_pages(sources: DataFrame, seconds: float = 30.0, pause: float = 1.0, agent: str = "parolith/1.0", get: Callable[[str], str] | None = None) -> DataFrame:
+    """(url, html, error) of every distinct address of a catalogue; a page that fails has an error and no html.
+
+    Addresses of one host go to one task, which waits between two requests. ``get`` may take the place of the HTTP request.
+    """
+
+    def request(url: str) -> str:
+        with urlopen(Request(url, headers={"User-Agent": agent}), timeout=seconds) as answer:
+            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: set[str] = set()
+        for p in batches:
+            for url, host in zip(p["url"], p["host"]):
+                if host in asked:
+                    time.sleep(pause)
+                asked.add(host)
+                try:
+                    row = (url, (get or request)(url), None)
+                except Exception as e:  # noqa: BLE001
+                    row = (url, None, f"{type(e).__name__}: {e}"[:300])
+                yield pd.DataFrame([row], columns=["url", "html", "error"], dtype="object")
+
+    urls = sources.select("url").where("url is not null").distinct().withColumn("host", F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")))
+    return urls.repartition("host").mapInPandas(run, "url string, html string, error string")
+
+
 def page_items(pages: DataFrame, kind: str) -> DataFrame:
     """(url, people, place, item, stopped) of pages (url, people, html); kind is "items", "content", "titles" or "lines". A page that fails gives no item."""
 
