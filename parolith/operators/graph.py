@@ -32,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     before = None
     for _ in range(most_rounds):
         now = cut(_small_star(_large_star(now)))
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first())
+        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first())
         if sign == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = sign
