@@ -165,6 +165,13 @@ def marks_of(text: str) -> np.ndarray:
 
 def mixture(score: np.ndarray, owner: np.ndarray, n: int, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """EM for all texts at once: proportions (n x languages) over the allowed languages, and the log likelihood of each text."""
+    per_text = (allowed > 0).sum(axis=1)
+    if len(per_text) and per_text.min() == per_text.max() < allowed.shape[1]:  # sets of one size: no other column is looked at
+        langs = np.nonzero(allowed > 0)[1].reshape(n, -1)
+        few, log = mixture(score[np.arange(len(owner))[:, None], langs[owner]], owner, n, np.ones(langs.shape), rounds)
+        share = np.zeros(allowed.shape)
+        np.put_along_axis(share, langs, few, axis=1)
+        return share, log
     share = allowed / allowed.sum(axis=1, keepdims=True)
     likely = np.exp(score)
     size = np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
