@@ -77,7 +77,9 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, g: Grams) -> DataFrame:
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = texts.count()
-    counts = texts.repartition("id").select("id", F.explode(grams_of(F.col("text"), g)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    width = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.sparkSession.sparkContext.defaultParallelism)
+    # a number of partitions is named, or a small table would be put into one before it is cut up
+    counts = texts.repartition(width, "id").select("id", F.explode(grams_of(F.col("text"), g)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") <= g.max_share * n)
     if g.max_terms is not None:
         terms = F.broadcast(cut(terms.orderBy(F.desc("total"), "term").limit(g.max_terms)))  # the cap bounds it
