@@ -217,12 +217,22 @@ _APART = regex.compile(r"[\p{P}\p{S}\p{Cc}\s]+")
 _CASED_APART = regex.compile(r"[^\w]+", regex.ASCII)
 
 
+#: Letters whose capital is several letters (ligatures, some Greek ones), but for the sharp s; they are another form, not another case, of these.
+_SEVERAL = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c != "ß" and len(c.upper()) > 1) + "]")
+
+
 def fold(text: str) -> str:
     """Letter case disregarded, in every script: upper first, so that sharp s and dotless i meet their capitals.
 
     Each character folds by itself, whatever stands around it; the capital sharp s alone stays a letter when it is lowered.
     """
-    return text.lower() if text.isascii() else text.upper().lower().replace("\u0307", "").replace("ς", "σ").replace("ß", "ss")
+    if text.isascii():
+        return text.lower()
+    if _SEVERAL.search(text):
+        t = "".join(c.lower() if _SEVERAL.match(c) else c.upper().lower() for c in text)
+    else:
+        t = text.upper().lower()
+    return t.replace("\u0307", "").replace("ς", "σ").replace("ß", "ss")
 
 
 def words(text: str | None) -> list[str]:
