@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,11 +71,35 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, SOURCES)
 
 
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a JSON array. One indented by two, as write_json_array makes it, is cut up at the ends of its records and read by many tasks.
+
+    Any other is read whole by one task.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    begins = b""
+    if system.getFileStatus(where).isFile():
+        read = system.open(where)
+        begins = bytes(max(read.read(), 0) for _ in range(6))
+        read.close()
+    if begins != b"[\n  {\n":
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    # a line that closes a record has two blanks before its brace, one within a record has more, and a text has no raw line feeds
+    piece = F.regexp_replace("value", r"\s+\z", "")
+    last, first = piece.endswith("\n]"), piece.startswith("[")
+    piece = F.when(last, piece.substr(F.lit(1), F.length(piece) - 1)).otherwise(F.concat(piece, F.lit("\n  }")))
+    piece = F.when(first, piece).otherwise(F.concat(F.lit("["), piece))
+    rows = F.from_json(F.concat(piece, F.lit("]")), T.ArrayType(schema))
+    rows = F.when(rows.isNull(), F.raise_error(F.concat(F.lit("not a JSON array: "), F.substring("value", 1, 200)))).otherwise(rows)
+    return spark.read.text(path, lineSep="\n  },\n").select(F.inline(rows))
+
+
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Clusters from Parquet or from a JSON array; a typed empty frame where there is no file."""
     if not exists(spark, path):
         return empty(spark, CLUSTERS)
-    return spark.read.schema(CLUSTERS).option("multiLine", True).json(path) if ".json" in path else spark.read.parquet(path)
+    return read_json_array(spark, path, CLUSTERS) if ".json" in path else spark.read.parquet(path)
 
 
 def read_coords(spark: SparkSession, path: str) -> DataFrame:
@@ -106,12 +132,38 @@ def write_clusters(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_json_array(df: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """One indented JSON array in one file, for results of a bounded size."""
-    rows = df.limit(most + 1).toJSON().collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write them as Parquet")
-    write_text(df.sparkSession, json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2), path)
+def _indented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """JSON texts as they stand in an indented array; a text has no raw line feeds, so each one indents a line."""
+    for b in batches:
+        yield pd.DataFrame({"value": ["  " + json.dumps(json.loads(r), ensure_ascii=False, indent=2).replace("\n", "\n  ") for r in b["value"]]})
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One indented JSON array in one file, in the order of the rows.
+
+    The tasks write its parts; the driver copies their bytes one after the other and holds none of the rows.
+    """
+    spark = df.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    parts, where = hadoop.fs.Path(f"{path}-parts-{uuid.uuid4().hex}"), hadoop.fs.Path(path)
+    system = where.getFileSystem(conf)
+    try:
+        df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(_indented, "value string").write.option("lineSep", ",\n").text(parts.toString())
+        made = sorted((f.getPath().getName(), f.getLen()) for f in system.listStatus(parts) if f.getPath().getName().startswith("part-"))
+        made = [(name, size) for name, size in made if size]
+        out = system.create(where, True)
+        out.write(bytearray(b"[\n" if made else b"["))
+        for k, (name, size) in enumerate(made):
+            part = hadoop.fs.Path(parts, name)
+            read = system.open(part)
+            kept = spark.sparkContext._jvm.org.apache.commons.io.input.BoundedInputStream(read, size - (2 if k == len(made) - 1 else 0))
+            hadoop.io.IOUtils.copyBytes(kept, out, 1 << 16, False)  # the last row is followed by nothing
+            read.close()
+            system.delete(part, False)
+        out.write(bytearray(b"\n]" if made else b"]"))
+        out.close()
+    finally:
+        system.delete(parts, True)
 
 
 def write_report(text: str, enriched: DataFrame, path: str) -> tuple[str, str]:

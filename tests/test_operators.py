@@ -307,6 +307,26 @@ def test_extractors(spark):
     assert pages.EXTRACTORS["internet_archive_html"][0](many).count() == 5000
 
 
+def test_json_array_of_any_size(spark, tmp_path):
+    path = str(tmp_path / "big.json")
+    files.write_json_array(spark.range(1_000_001).select(F.col("id").cast("int").alias("cluster_id")), path)
+    read = files.read_clusters(spark, path)
+    assert read.agg(F.count("*"), F.sum("cluster_id")).first()[:] == (1_000_001, 500_000_500_000)
+    odd = [(3, 'a "b"\n  },\n  {\n ] \u2028\r\\', ["x", "]"]), (None, None, None), (1, "ж  }", []), (2, None, ["\n]"])]
+    made = conform(spark.createDataFrame(odd, "cluster_id int, claim string, cultures array<string>"), CLUSTERS).orderBy(F.desc("cluster_id"))
+    for df in (made, made.where("false"), made.where("cluster_id = 1"), made.where("cluster_id is null").select("cluster_id")):
+        files.write_json_array(df, path)
+        want = df.collect()
+        assert (tmp_path / "big.json").read_text(encoding="utf-8") == json.dumps([json.loads(r) for r in df.toJSON().collect()], ensure_ascii=False, indent=2)
+        assert [r["cluster_id"] for r in files.read_clusters(spark, path).collect()] == [r["cluster_id"] for r in want]
+    files.write_json_array(made, path)
+    assert files.read_clusters(spark, path).collect() == made.collect()
+    for text in ('[{"cluster_id": 1}, {"cluster_id": 2}]', '[\n  {\n    "cluster_id": 1\n  }, {"cluster_id": 2},\n  {\n  "cluster_id": 3\n  },\n  {}\n]\n'):
+        (tmp_path / f"hand{len(text)}.json").write_text(text)
+        assert [r["cluster_id"] for r in files.read_clusters(spark, str(tmp_path / f"hand{len(text)}.json")).collect()] == ([1, 2] if "3" not in text else [1, 2, 3, None])
+    assert not [f.name for f in tmp_path.iterdir() if "parts" in f.name]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('people,saying,extra\nA,"Line one\nline ""two""",x\nB,,y\n', encoding="utf-8")
     df = files.read_csv(spark, str(tmp_path / "a.csv"))
