@@ -78,6 +78,25 @@ def test_pairs_and_clusters_equal_brute_force(spark):
     assert abs(mean_similarity(v) - sims[iu].mean()) < 1e-9
 
 
+def test_pairs_of_many_blocks_without_a_shuffle_of_products(spark, monkeypatch):
+    from parolith.operators import tfidf as module
+
+    x = unit(np.random.default_rng(4), 60, 12)
+    x[x < 0.1] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v, sims = vectors(spark, x), x @ x.T
+    want = {(i, j): sims[i, j] for i in range(60) for j in range(i + 1, 60) if sims[i, j] >= 0.6}
+    monkeypatch.setattr(module, "BLOCK_ROWS", (15, 15), raising=False)
+    monkeypatch.setattr(module, "BASIS_TERMS", 8, raising=False)  # fewer than there are
+    monkeypatch.setattr(module, "BASIS_DIRECTIONS", 3, raising=False)
+    monkeypatch.setattr(module, "BASIS_ROWS", 20, raising=False)
+    made = similar_pairs(v, 0.6)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a"], r["b"]): r["cosine"] for r in made.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert similar_pairs(v.where("false"), 0.6).columns == ["a", "b", "cosine"] and similar_pairs(v.where("false"), 0.6).count() == 0
+
+
 def test_queries_take_the_adaptive_threshold(spark, monkeypatch):
     from parolith.plans import catalog
 
