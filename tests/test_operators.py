@@ -158,6 +158,22 @@ def test_large_components_are_merged_in_rounds(spark):
         assert {frozenset(g) for g in got.values()} == want and 1 < len(want) < 30
 
 
+def test_rounds_in_blocks_give_the_clusters_at_every_threshold(spark, monkeypatch):
+    from parolith.operators import linkage
+
+    x = unit(np.random.default_rng(11), 30, 8)
+    v, freed, free = vectors(spark, x), [], linkage.free
+    monkeypatch.setattr(linkage, "SUM_ROWS", 7)
+    monkeypatch.setattr(linkage, "free", lambda *tables: freed.extend(tables) or free(*tables))
+    merges = linkage.merge_tree(v, 0.35, most_pairs=3)
+    assert len(freed) > 3  # a round's tables don't stay
+    for t in (0.2, 0.35):
+        got = {}
+        for r in linkage.cluster_vectors(v, spark.range(30), t, merges=merges).collect():
+            got.setdefault(r["cluster_id"], set()).add(r["id"])
+        assert {frozenset(g) for g in got.values()} == naive_linkage(x, t)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7), (None, 3)]
