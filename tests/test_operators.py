@@ -174,6 +174,16 @@ def test_rounds_in_blocks_give_the_clusters_at_every_threshold(spark, monkeypatc
         assert {frozenset(g) for g in got.values()} == naive_linkage(x, t)
 
 
+def test_two_thresholds_take_one_run_of_merges(spark, monkeypatch):
+    from parolith.plans import catalog
+
+    x = unit(np.random.default_rng(11), 16, 6)
+    v, runs, tree = vectors(spark, x), [], catalog.linkage.merge_tree
+    monkeypatch.setattr(catalog, "_item_vectors", lambda spark, sf_dir: v)
+    monkeypatch.setattr(catalog.linkage, "merge_tree", lambda v, t, *a, **k: runs.append(t) or tree(v, t, *a, **k))
+    assert -1 < catalog.QUERIES["threshold_rand"](spark, "").first()[0] <= 1 and runs == [0.45]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7), (None, 3)]
