@@ -184,6 +184,22 @@ def test_two_thresholds_take_one_run_of_merges(spark, monkeypatch):
     assert -1 < catalog.QUERIES["threshold_rand"](spark, "").first()[0] <= 1 and runs == [0.45]
 
 
+def test_bootstrap_makes_pairs_once(spark, monkeypatch):
+    from parolith.operators import linkage
+
+    x = unit(np.random.default_rng(5), 20, 6)
+    v, made, pairs = vectors(spark, x), [], experiments.kept_pairs
+    monkeypatch.setattr(experiments, "kept_pairs", lambda *a: made.append(a) or pairs(*a))
+    monkeypatch.setattr(linkage, "kept_pairs", None)
+    got = experiments.bootstrap_agreement(v, spark.range(20), 0.3, draws=1).first()["adjusted_rand"]
+    kept = spark.range(20).where(F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(0), F.lit(0), F.col("id"))), 1, 8), 16, 10).cast("long") < int(0.8 * (1 << 32)))
+    ids = [r["id"] for r in kept.collect()]
+    whole, part = naive_linkage(x, 0.3), naive_linkage(x[ids], 0.3)
+    frame = lambda groups, name: spark.createDataFrame([(name(i), k) for k, g in enumerate(groups) for i in g], "id long, cluster_id int")
+    want = experiments.rand_index(frame(whole, int), frame(part, lambda i: ids[i])).first()[0]
+    assert abs(got - want) < 1e-9 and len(made) == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7), (None, 3)]
