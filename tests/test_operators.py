@@ -200,6 +200,12 @@ def test_bootstrap_makes_pairs_once(spark, monkeypatch):
     assert abs(got - want) < 1e-9 and len(made) == 1
 
 
+def test_sweep_takes_one_run_of_merges(spark, monkeypatch):
+    v, runs, tree = vectors(spark, unit(np.random.default_rng(12), 12, 6)), [], getattr(experiments, "merge_tree", None)
+    monkeypatch.setattr(experiments, "merge_tree", lambda v, t: runs.append(t) or tree(v, t), raising=False)
+    assert [r["threshold"] for r in experiments.threshold_sweep(v, spark.range(12), (0.2, 0.4)).collect()] == [0.2, 0.4] and runs == [0.4]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(7, 7), (None, 3)]
