@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,50 @@ def test_pairs_of_many_blocks_without_a_shuffle_of_products(spark, monkeypatch):
     assert similar_pairs(v.where("false"), 0.6).columns == ["a", "b", "cosine"] and similar_pairs(v.where("false"), 0.6).count() == 0
 
 
+def test_packed_vectors_are_those_of_tfidf_in_little_room(spark, monkeypatch):
+    from pathlib import Path
+
+    from parolith.operators import tfidf as module
+    from parolith.plans import catalog, measures  # noqa: F401  (adds its queries)
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("aeiklmnorst") for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) for _ in range(400)] + ["", "tick " * 300, None]
+    df, g = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), Grams("char_wb", 3, 6, 0.9, 500)  # fewer terms than there are
+    monkeypatch.setattr(module, "BLOCK_ROWS", (50, 50))
+    monkeypatch.setattr(module, "BASIS_DIRECTIONS", 5)
+    monkeypatch.setattr(module, "BASIS_GROUPS", 7, raising=False)
+    long = tfidf(df, "id", "text", g)
+    x = np.zeros((len(texts), 500))
+    at: dict = {}
+    for r in long.collect():
+        x[r["id"], at.setdefault(r["term"], len(at))] = r["w"]
+    blocks = module.packed_tfidf(df, "id", "text", g)
+    held = [module.unpacked({c: pa.scalar(v) for c, v in r.asDict().items() if c != "block"}) for r in blocks.collect()]
+    assert len({r["block"] for r in blocks.collect()}) == len(held) > 8
+    assert sorted(i for b in held for i in b["ids"].tolist()) == np.flatnonzero(x.any(1)).tolist()
+    for b in held:
+        assert (np.diff(b["ids"]) > 0).all() and len(b["ids"]) <= 50
+        for k, i in enumerate(b["ids"]):
+            own = slice(b["starts"][k], b["starts"][k + 1])
+            assert np.allclose(np.sort(b["w"][own]), np.sort(x[i][x[i] > 0]), atol=1e-12)
+    sims = x @ x.T
+    want = {(i, j): sims[i, j] for i, j in np.argwhere(np.triu(sims >= 0.4, 1)).tolist()}
+    for v in (blocks, long):
+        got = {(r["a"], r["b"]): r["cosine"] for r in similar_pairs(v, 0.4).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert similar_pairs(module.packed_tfidf(df.where("false"), "id", "text", g), 0.4).count() == 0
+
+    size = lambda d: sum(p.stat().st_size for p in Path(d._cut_path).rglob("*.parquet"))
+    tables, cut = [], module.cut
+    monkeypatch.undo()
+    for m in (module, catalog):
+        monkeypatch.setattr(m, "cut", lambda df, **k: tables.append(cut(df, **k)) or tables[-1])
+    assert catalog.QUERIES["pair_cosines"](spark, "/root/testdata/sf0.01").count() == 2702
+    room = sum(map(size, tables))
+    assert 0 < room < size(cut(catalog._item_vectors(spark, "/root/testdata/sf0.01")))
+
+
 def test_queries_take_the_adaptive_threshold(spark, monkeypatch):
     from parolith.plans import catalog
 
