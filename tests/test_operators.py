@@ -132,7 +132,7 @@ def test_packed_vectors_are_those_of_tfidf_in_little_room(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert similar_pairs(module.packed_tfidf(df.where("false"), "id", "text", g), 0.4).count() == 0
 
-    size = lambda d: sum(p.stat().st_size for p in Path(d._cut_path).rglob("*.parquet"))
+    size = lambda d: sum(p.stat().st_size for p in Path(d._cut_path.removeprefix("file:")).rglob("*.parquet"))
     tables, cut = [], module.cut
     monkeypatch.undo()
     for m in (module, catalog):
@@ -219,6 +219,35 @@ def test_rounds_in_blocks_give_the_clusters_at_every_threshold(spark, monkeypatc
         assert {frozenset(g) for g in got.values()} == naive_linkage(x, t)
 
 
+def test_packed_rows_are_merged_as_counts(spark, monkeypatch):
+    from parolith.operators import linkage
+    from parolith.operators.tfidf import packed_tfidf
+
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(["river", "boat", "oven", "stone", "bread", "night"]) for _ in range(rng.randrange(1, 4))) for _ in range(14)] + ["", "oven " * 3]
+    df, g = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2), Grams("char_wb", 3, 6, 0.9, 60)
+    x, at = np.zeros((16, 60)), {}
+    for r in tfidf(df, "id", "text", g).collect():
+        x[r["id"], at.setdefault(r["term"], len(at))] = r["w"]
+    v = packed_tfidf(df, "id", "text", g)
+    monkeypatch.setattr(linkage, "SUM_ROWS", 7)
+    want = None
+    for most in (12, 400_000):
+        groups: dict = {}
+        for r in cluster_vectors(v, df.select("id"), 0.35, most_pairs=most).collect():
+            groups.setdefault(r["cluster_id"], set()).add(r["id"])
+        got = {frozenset(k) for k in groups.values()}
+        want = want or {frozenset(k) for k in map(frozenset, _groups(average_linkage(x, 0.35)))}
+        assert got == want and 3 < len(want) < 14
+
+
+def _groups(labels):
+    made: dict = {}
+    for i, k in enumerate(labels):
+        made.setdefault(k, []).append(i)
+    return made.values()
+
+
 def test_two_thresholds_take_one_run_of_merges(spark, monkeypatch):
     from parolith.plans import catalog
 
